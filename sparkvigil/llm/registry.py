@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, jaccard, langid, mixing, neighbours, sharding
+from . import chat, html_text, jaccard, langid, mixing, neighbours, passages, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_chat_format": chat.op2_chat_format,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_extract_text": html_text.op4_extract_text,
+    "op6_dedup_passages": passages.op6_dedup_passages,
     "op7_shard_documents": sharding.op7_shard_documents,
     "op8_jaccard_components": jaccard.op8_jaccard_components,
     "op10_nearest": neighbours.op10_nearest,
 }
-SQL = {"op2_chat_format": chat.SQL, "op3_mix_sources": mixing.SQL, "op8_jaccard_components": jaccard.SQL}
+SQL = {"op2_chat_format": chat.SQL, "op3_mix_sources": mixing.SQL, "op6_dedup_passages": passages.SQL, "op8_jaccard_components": jaccard.SQL}
