@@ -61,7 +61,8 @@ def _anchored(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tup
     low = (h & ~PLACE) | np.arange(m, dtype=U)
     width, span = 1, length - gram + 1
     while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
+        np.minimum(low[:-width], low[width:], out=low[:-width])
+        low = low[:-width]
         width *= 2
     if span > width:
         low = np.minimum(low[: n], low[span - width : span - width + n])
@@ -148,10 +149,10 @@ def _lists(cols: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         yield c, rows["x"][a:b].tobytes()
 
 
-def repeated(key: np.ndarray, back: np.ndarray, fore: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated(key: np.ndarray, back: np.ndarray, fore: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(piece, window start less anchor) of windows that occur in two pieces.
 
-    Piece i has the bytes ``data[at[i] : at[i + 1]]``: those of its windows, from ``back`` bytes before its anchor,
+    Piece i has the bytes ``data[at[i] : at[i] + size[i]]``: those of its windows, from ``back`` bytes before its anchor,
     the last of which starts ``fore`` bytes before. Pieces of one key are compared.
     """
     n, reach = len(key), int(back.max())
@@ -163,13 +164,14 @@ def repeated(key: np.ndarray, back: np.ndarray, fore: np.ndarray, data: np.ndarr
     out_piece, out_place = [], []
     with tempfile.TemporaryFile() as f:
         columns = np.memmap(f, np.uint8, "w+", shape=(width, n))
-        for lo in range(0, n, 2048):
-            hi = min(n, lo + 2048)
+        for lo in range(0, n, 1024):
+            hi = min(n, lo + 1024)
             block = np.zeros((hi - lo, width), np.uint8)
-            size = (at[lo + 1 : hi + 1] - at[lo:hi]).astype(LONG)
-            row = np.repeat(np.arange(hi - lo), size)
-            col = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[lo:hi], size)
-            block[row, col] = data[at[lo] : at[hi]]
+            own = size[lo:hi]
+            heads = np.cumsum(own) - own
+            place = np.arange(int(own.sum())) - np.repeat(heads, own)
+            row = np.repeat(np.arange(hi - lo), own)
+            block[row, place + np.repeat(first[lo:hi], own)] = data[place + np.repeat(at[lo:hi], own)]
             columns[:, lo:hi] = block.T
         order = np.argsort(group, kind="stable")
         common = np.zeros(n + 1, np.int16)  # of each with the one before; the last is a stop
@@ -231,7 +233,7 @@ def _build(texts: DataFrame, length: int, gram: int, n_parts: int) -> DataFrame:
                         anchors.append(a)
                         raw.append(own[lo:hi].tobytes())
                         held += hi - lo
-                        if held > 8 * K.CHUNK:
+                        if held > 4 * K.CHUNK:
                             yield from pack(keys, cls, anchors, raw)
                             keys, cls, anchors, raw, held = [], [], [], [], 0
                 if keys:
@@ -263,9 +265,7 @@ def _build(texts: DataFrame, length: int, gram: int, n_parts: int) -> DataFrame:
             nxt = heads[heads >= min(lo + PIECES, len(order))]
             hi = int(nxt[0]) if len(nxt) else len(order)
             own = order[lo:hi]
-            place = np.concatenate(([0], np.cumsum(size[own])))
-            flat = np.repeat(at[own] - place[:-1], size[own]) + np.arange(place[-1])
-            piece, start = repeated(key[own], anchor["back"][own], anchor["fore"][own], data[flat], place, length)
+            piece, start = repeated(key[own], anchor["back"][own], anchor["fore"][own], data, at[own], size[own], length)
             lo = hi
             if not len(piece):
                 continue
