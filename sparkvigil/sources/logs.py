@@ -44,14 +44,14 @@ SIGNATURES = (
 
 def split_lines(lines: DataFrame, host: str = "", zone: str = "UTC") -> DataFrame:
     """Adds ts, node, unit, msg; ts is null for a line of neither form. Daemon lines take the given host."""
-    line = F.col("line")
-    journal, daemon = line.rlike(JOURNAL), line.rlike(DAEMON)
-    g = lambda n: F.regexp_extract(line, JOURNAL, n)
-    time = F.when(journal, g(1)).when(daemon, F.regexp_extract(line, DAEMON, 1))
-    return lines.withColumns({
-        "ts": S.log_time(time, zone), "node": F.when(journal, g(2)).when(daemon, F.lit(host)), "unit": F.when(journal, S.strip(g(3))).when(daemon, F.lit("")),
-        "msg": S.strip(F.when(journal, g(5)).when(daemon, F.regexp_extract(line, DAEMON, 2))),
-    })
+    def split(x: Column) -> Column:
+        g = lambda n: F.regexp_extract(x, JOURNAL, n)
+        d = lambda n: F.regexp_extract(x, DAEMON, n)
+        fields = lambda *v: F.struct(*[c.alias(k) for k, c in zip(("time", "node", "unit", "msg"), v, strict=True)])
+        return F.when(x.rlike(JOURNAL), fields(g(1), g(2), S.strip(g(3)), S.strip(g(5)))).when(x.rlike(DAEMON), fields(d(1), F.lit(host), F.lit(""), S.strip(d(2))))
+
+    got = lines.withColumn("__s", S.once(F.col("line"), split))
+    return got.withColumns({"ts": S.log_time(F.col("__s.time"), zone), **{k: F.col(f"__s.{k}") for k in ("node", "unit", "msg")}}).drop("__s")
 
 
 def signature_number(msg: Column) -> Column:
@@ -74,19 +74,25 @@ def _groups(attrs: dict) -> int:
 
 def classify(split: DataFrame, cluster: str) -> DataFrame:
     """Events of split lines (ts, node, unit, msg, line_no), with ``job_text`` as found in the line."""
-    sig = F.col("sig")
+    sig = F.col("hit.sig")
     at = lambda j: F.get(F.array(*[F.lit(s[j]) for s in SIGNATURES]), sig)
-    hit = split.filter("ts is not null").withColumn("sig", signature_number(F.col("msg"))).filter("sig is not null")
-    held = lambda n: sig.isin(*[i for i, s in enumerate(SIGNATURES) if _groups(s[3]) >= n])
-    group = lambda n: F.when(held(n), F.call_function("regexp_extract", F.col("msg"), at(2), F.lit(n)))
-    hit = hit.withColumns({"g1": group(1), "g2": group(2)})
+    patterns, groups = F.array(*[F.lit(x[2]) for x in SIGNATURES]), F.array(*[F.lit(_groups(x[3])) for x in SIGNATURES])
+
+    def found(msg: Column) -> Column:
+        def parts(n: Column) -> Column:
+            g = lambda k: F.when(F.get(groups, n) >= k, F.call_function("regexp_extract", msg, F.get(patterns, n), F.lit(k)))
+            return F.when(n.isNotNull(), F.struct(n.alias("sig"), g(1).alias("g1"), g(2).alias("g2")))
+
+        return S.once(signature_number(msg), parts)
+
+    hit = split.filter("ts is not null").withColumn("hit", S.once(F.col("msg"), found)).filter("hit is not null")
 
     def field(key: str) -> Column:
         by_value: dict = {}
         for i, (_, _, _, attrs) in enumerate(SIGNATURES):
             if key in attrs:
                 by_value.setdefault(attrs[key], []).append(i)
-        return F.coalesce(*[F.when(sig.isin(*rows), _value(spec, [F.col("g1"), F.col("g2")])) for spec, rows in by_value.items()])
+        return F.coalesce(*[F.when(sig.isin(*rows), _value(spec, [F.col("hit.g1"), F.col("hit.g2")])) for spec, rows in by_value.items()])
 
     keys = sorted({k for _, _, _, attrs in SIGNATURES for k in attrs} - {"job", "node"})
     error = F.when(F.col("msg").startswith("error:") | F.col("unit").contains("error"), "error")

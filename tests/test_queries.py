@@ -1,0 +1,40 @@
+import os
+
+import duckdb
+import pytest
+
+from sparkvigil.plans import registry
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def canon(rows, names):
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted(repr(tuple(r[i] for i in order)) for r in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_query_equals_its_sql(spark, duck, name):
+    df = registry.QUERIES[name](spark, SF)
+    got = [tuple(r) for r in df.collect()]
+    assert name in registry.SQL
+    r = duck.execute(registry.SQL[name])
+    names = [d[0] for d in r.description]
+    assert sorted(names) == sorted(df.columns)
+    assert canon(got, df.columns) == canon(r.fetchall(), names)
+
+
+def test_entry():
+    import __spark_entry__ as e
+
+    assert set(registry.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
