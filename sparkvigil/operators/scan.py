@@ -24,6 +24,12 @@ RULES = {
     "account-code": r"\b(?:TG-[A-Z]{3}\d{6}|[A-Z]{2,}[-_]?\d{4,})\b",
     "slurm-conf-host": r"(?i)\b(?:ClusterName|ControlMachine|SlurmctldHost|BackupController|AccountingStorageHost|DbdHost|NodeName|NodeHostname|NodeAddr)\s*=\s*([A-Za-z0-9._\[\]{}-]+)",
 }
+#: A cheap pattern that every match of the rule holds: most lines hold none and go no further.
+NEEDS = {
+    "ipv4": r"\d\.\d", "ipv6": r"[0-9a-fA-F]:[0-9a-fA-F]", "ib-guid": r"0x[0-9a-fA-F]{16}", "mac": r"[0-9a-fA-F][:-][0-9a-fA-F]{2}[:-]", "email": r"@", "fqdn": r"[a-zA-Z0-9-]\.[a-z]",
+    "home-path": r"/(?:home|users|u|nfs|gpfs)/", "ssh-key": r"ssh-|ecdsa-", "private-key": r"-----BEGIN", "long-hex": r"[0-9a-fA-F]{32}", "uid": r"[uUgG][iI][dD]\s*[=:]", "account-code": r"[A-Z][-_]?\d{4}|TG-",
+    "slurm-conf-host": r"[a-zA-Z]\s*=",
+}
 # Shapes of pseudonyms.
 PSEUDONYM = r"^(?:node-[0-9]{2,12}|user-[0-9]{2,12}|acct-[0-9]{2,12}|cluster-(?:[a-z]|[0-9]{2,12}))$"
 RESERVED_DOMAINS = ("example.com", "example.org", "example.net", ".invalid")
@@ -72,7 +78,7 @@ def _matches(rule: str, line: Column) -> Column:
     sizes = F.zip_with(gaps, found, lambda g, m: F.coalesce(F.octet_length(g), F.lit(0)) + F.coalesce(F.octet_length(m), F.lit(0)))
     before = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n)
     rows = F.transform(found, lambda m, i: F.struct(F.lit(rule).alias("rule"), (before(i) + F.octet_length(F.get(gaps, i)) + 1).cast("long").alias("col"), m.alias("match")))
-    return F.when(line.rlike(pattern), F.filter(rows, lambda r: ~allowed(rule, r["match"])))
+    return F.when(line.rlike(NEEDS[rule]) & line.rlike(pattern), F.filter(rows, lambda r: ~allowed(rule, r["match"])))
 
 
 def lines_of(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,7 +88,7 @@ def lines_of(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataF
 
 def scan(lines: DataFrame, suppressions: DataFrame | None = None) -> DataFrame:
     """path, line_no, col, rule, match of every finding; annotated lines and suppressed (rule, match) are left out."""
-    plain = lines.filter(~F.col("line").contains(ANNOTATION))
+    plain = lines.filter(F.col("line").rlike("|".join(f"(?:{n})" for n in NEEDS.values())) & ~F.col("line").contains(ANNOTATION))
     every = F.flatten(F.filter(F.array(*[_matches(r, F.col("line")) for r in RULES]), lambda a: a.isNotNull()))
     found = plain.select("path", "line_no", F.explode(every).alias("f")).select("path", "line_no", "f.col", "f.rule", "f.match")
     return found if suppressions is None else found.join(suppressions, ["rule", "match"], "left_anti").select("path", "line_no", "col", "rule", "match")
