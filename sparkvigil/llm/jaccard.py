@@ -4,12 +4,14 @@ A document's set is its distinct k-word shingles (fewer words: the whole sequenc
 nothing). Documents of equal sets are one class. Shingles are ordered by frequency class, rare first, then by hash;
 the class comes from counts over all documents in a sketch of fixed size (``SKETCH`` cells), which steers the order
 only: any order gives the same links. Two sets that reach the threshold share a shingle in their prefixes
-(size - ceil(t * size) + 1), and two in prefixes one longer. So with prefixes extended by one,
+(size - ceil(t * size) + 1), and k + 1 in prefixes longer by k. Prefixes are extended by k = max(1, size // ``EXTEND``):
 
-* a rare shingle (at most ``RARE`` classes hold it) is indexed alone and gives its pairs;
+* a rare shingle (at most ``RARE`` classes hold it) is indexed alone; its pairs are counted, and a pair that shares
+  k // ``PART`` rare shingles (one at least) is a candidate;
 * a frequent one first links neighbours in its list; classes which these links join need no pair among themselves.
-  Where a frequent shingle still spans several components, its classes are indexed by combinations of two frequent
-  shingles: pairs that share no rare shingle share two frequent ones.
+  A similar pair of two components that is no candidate yet shares at least ``frequent_shared(k)`` of the frequent
+  shingles that still span components. Classes that hold so many are indexed by combinations of two of them, taken
+  from a prefix of these (fewest classes first) in which such a pair shares two.
 
 Candidates are verified exactly: by a quarter of the hash space, in which more differences than the threshold allows
 rule a pair out for certain, then by whole sets. No cap drops a candidate.
@@ -35,8 +37,10 @@ from .components import components
 SHINGLE = 5
 PERCENT = 80
 RARE = 16
-SKETCH_BITS = 20
-SLICE_BITS = 12
+EXTEND = 10
+PART = 4
+SKETCH_BITS = 22
+SLICE_BITS = 14
 U = np.uint64
 CELL = U((1 << SKETCH_BITS) - 1)
 LONG = np.int64
@@ -46,13 +50,21 @@ def _batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.Reco
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def frequent_shared(k: int) -> int:
+    """Frequent shingles that a similar pair shares at least if it shares too few rare ones: k + 1 in all."""
+    return k + 2 - max(1, k // PART)
+
+
 def _class(s: np.ndarray) -> int:
     """A hash of the whole set."""
     return int(K.mix(np.sum(K.mix(s), keepdims=True)).view(LONG)[0])
 
 
 def _sketch(docs: DataFrame, stage: Stage) -> np.ndarray:
-    """Frequency class of each cell: 0 up to twice the mean count, one more for each doubling."""
+    """Frequency class of each cell: 0 up to what chance makes of the mean count, one more for each doubling.
+
+    A task counts to 255 in a cell at most, which is far beyond class 0.
+    """
     spark = docs.sparkSession
     slices = 1 << (SKETCH_BITS - SLICE_BITS)
 
@@ -68,23 +80,23 @@ def _sketch(docs: DataFrame, stage: Stage) -> np.ndarray:
                     ok[ends[ends >= w.first[:-1]]] = False
                 cells += np.bincount((grams[ok[: len(grams)]] & CELL).astype(np.int64), minlength=len(cells))
         if cells.any():
-            small = np.minimum(cells, 0xFFFFFFFF).astype(np.uint32).reshape(slices, -1)
+            small = np.minimum(cells, 255).astype(np.uint8).reshape(slices, -1)
             yield _batch(["part", "cells"], [pa.int32(), pa.binary()], [range(slices), [x.tobytes() for x in small]])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[p] = sums.get(p, 0) + np.frombuffer(blob, np.uint32).astype(np.int64)
+                sums[p] = sums.get(p, 0) + np.frombuffer(blob, np.uint8).astype(np.uint32)
         yield _batch(["part", "cells"], [pa.int32(), pa.binary()], [list(sums), [x.tobytes() for x in sums.values()]])
 
     counted = docs.select("text").mapInArrow(count, "part int, cells binary")
-    summed = counted.repartition(slices, "part").mapInArrow(total, "part int, cells binary").collect()  # 8 bytes a cell, of a fixed number
-    cells = np.zeros((slices, 1 << SLICE_BITS), np.int64)
+    summed = counted.repartition(slices, "part").mapInArrow(total, "part int, cells binary").collect()  # 4 bytes a cell, of a fixed number
+    cells = np.zeros((slices, 1 << SLICE_BITS), np.uint32)
     for r in summed:
-        cells[r["part"]] = np.frombuffer(r["cells"], np.int64)
+        cells[r["part"]] = np.frombuffer(r["cells"], np.uint32)
     cells = cells.ravel()
-    return np.clip(np.floor(np.log2(np.maximum(cells, 1) / max(1.0, 2 * cells.mean()))) + 1, 0, 30).astype(np.uint8)
+    return np.clip(np.floor(np.log2(np.maximum(cells, 1) / (8 + 1.5 * cells.mean()))) + 1, 0, 30).astype(np.uint8)
 
 
 def _pairs(token: np.ndarray, who: np.ndarray, n: np.ndarray, percent: int) -> tuple:
@@ -111,31 +123,36 @@ def _pairs(token: np.ndarray, who: np.ndarray, n: np.ndarray, percent: int) -> t
     a += [at - 1, first[at]]
     b += [at, at]
     a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+    times = np.ones(len(a), np.int32)
+    times[len(a) - 2 * len(at) :] = ALWAYS
     near = n[a].astype(np.int64) * 100 >= n[b].astype(np.int64) * percent
-    return _ordered(who, n, a[near], b[near]), (token[often], who[often], n[often])
+    return _ordered(who, n, a[near], b[near], times[near]), (token[often], who[often], n[often])
 
 
-def _ordered(who, n, a, b) -> tuple[np.ndarray, ...]:
-    """Distinct pairs, smaller class first."""
+def _ordered(who, n, a, b, times) -> tuple[np.ndarray, ...]:
+    """Distinct pairs, smaller class first, with the sum of their times."""
     swap = who[a] > who[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     if not len(a):
-        return who[a], who[b], n[a], n[b]
+        return who[a], who[b], n[a], n[b], times
     order = np.lexsort((who[b], who[a]))
     a, b = a[order], b[order]
     keep = np.ones(len(a), bool)
     keep[1:] = (who[a][1:] != who[a][:-1]) | (who[b][1:] != who[b][:-1])
+    times = np.minimum(np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(keep)), ALWAYS).astype(np.int32)
     a, b = a[keep], b[keep]
-    return who[a], who[b], n[a], n[b]
+    return who[a], who[b], n[a], n[b], times
 
 
-ROW = "kind int, doc_id bigint, a bigint, b bigint, na int, nb int"
-_NAMES = ["kind", "doc_id", "a", "b", "na", "nb"]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+#: Times of a pair that is a candidate whatever it shares.
+ALWAYS = 1 << 20
+ROW = "kind int, doc_id bigint, a bigint, b bigint, na int, nb int, times int"
+_NAMES = ["kind", "doc_id", "a", "b", "na", "nb", "times"]
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
 
 def _index(docs: DataFrame, classes: np.ndarray, percent: int, n_parts: int) -> DataFrame:
-    """ROW by kind. 0: a document, its class a and size na (no a: empty set). 1: a candidate pair. 2: a posting of
+    """ROW by kind. 0: a document, its class a and size na (no a: empty set). 1: a pair and how often it is counted. 2: a posting of
     class b, of size nb, under the frequent token a."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # of fixed size
     names = ["part", "doc_id", "a", "na", "tokens", "who", "sizes"]
@@ -162,7 +179,7 @@ def _index(docs: DataFrame, classes: np.ndarray, percent: int, n_parts: int) ->
                         continue
                     seen.add(c)
                     own = (classes[(s & CELL).astype(np.int64)].astype(U) << U(58)) | (s >> U(6))
-                    take = min(n, n - (n * percent + 99) // 100 + 2)
+                    take = min(n, n - (n * percent + 99) // 100 + 1 + max(1, n // EXTEND))
                     tokens.append(np.partition(own, take - 1)[:take])
                     who.append(np.full(take, c, LONG))
                     sizes.append(np.full(take, n, np.int32))
@@ -183,15 +200,15 @@ def _index(docs: DataFrame, classes: np.ndarray, percent: int, n_parts: int) ->
             own = b.filter(plain)
             if own.num_rows:
                 none = pa.nulls(own.num_rows, pa.int32())
-                yield _batch(_NAMES, _KINDS, [[0] * own.num_rows, own.column(1), own.column(2), pa.nulls(own.num_rows, pa.int64()), own.column(3), none])
+                yield _batch(_NAMES, _KINDS, [[0] * own.num_rows, own.column(1), own.column(2), pa.nulls(own.num_rows, pa.int64()), own.column(3), none, none])
             rest = b.filter(pc.invert(plain))
             for j in range(3):
                 held[j] += rest.column(4 + j).to_pylist()
-        (a, b, na, nb), (token, who, n) = _pairs(K.joined(held[0], U), K.joined(held[1], LONG), K.joined(held[2], np.int32), percent)
+        (a, b, na, nb, times), (token, who, n) = _pairs(K.joined(held[0], U), K.joined(held[1], LONG), K.joined(held[2], np.int32), percent)
         if len(a):
-            yield _batch(_NAMES, _KINDS, [np.ones(len(a), np.int32), pa.nulls(len(a), pa.int64()), a, b, na, nb])
+            yield _batch(_NAMES, _KINDS, [np.ones(len(a), np.int32), pa.nulls(len(a), pa.int64()), a, b, na, nb, times])
         if len(token):
-            yield _batch(_NAMES, _KINDS, [np.full(len(token), 2, np.int32), pa.nulls(len(token), pa.int64()), token.view(LONG), who, pa.nulls(len(token), pa.int32()), n])
+            yield _batch(_NAMES, _KINDS, [np.full(len(token), 2, np.int32), pa.nulls(len(token), pa.int64()), token.view(LONG), who, pa.nulls(len(token), pa.int32()), n, pa.nulls(len(token), pa.int32())])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(post, "part int, doc_id bigint, a bigint, na int, tokens binary, who binary, sizes binary")
     return dealt(rows, n_parts).mapInArrow(pair, ROW)
@@ -245,6 +262,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, stage: Stage, name: str, percent:
 
     likely = pairs.join(side("a", "low"), "a").join(side("b", "low"), "b").select("a", "b", "na", "nb", "low_a", "low_b")
     likely = stage.put(likely.mapInArrow(quarter, "a bigint, b bigint, na int, nb int"), f"{name}_likely")
+    stage.tidy()
     full = likely.join(side("a", "low", "high"), "a").join(side("b", "low", "high"), "b").select("a", "b", "na", "nb", "low_a", "high_a", "low_b", "high_b")
     return stage.put(full.mapInArrow(whole, "a bigint, b bigint"), f"{name}_links")
 
@@ -252,13 +270,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, stage: Stage, name: str, percent:
 def _combinations(often: DataFrame, comp: DataFrame, n_parts: int, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) of different components that share two frequent tokens. often: token, cls, n."""
     rows = often.join(comp.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    spanning = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    lists = rows.join(spanning, "token").groupBy("cls", "n", "root").agg(F.collect_list("token").alias("tokens"))  # at most a prefix long
+    spanning = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("df")).filter("lo <> hi").select("token", "df")
+    lists = rows.join(spanning, "token").groupBy("cls", "n", "root").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))  # at most a prefix long
+    lists = lists.select("cls", "n", "root", F.transform("held", lambda x: x["token"]).alias("tokens"))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cls, n, root, tokens in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
-                t = np.sort(np.array(tokens, LONG)).view(U)
+                least = frequent_shared(max(1, n * percent // 100 // EXTEND))  # with the smallest similar set
+                t = np.array(tokens[: max(0, len(tokens) - least + 2)], LONG).view(U) if len(tokens) >= least else np.zeros(0, U)
                 i, j = np.triu_indices(len(t), 1)
                 if len(i):
                     c = K.mix(K.mix(t[i]) + K.SALT * t[j])
@@ -278,12 +298,12 @@ def _combinations(often: DataFrame, comp: DataFrame, n_parts: int, percent: int)
             near = (x["c"][open_] == x["c"][other]) & (x["n"][open_].astype(np.int64) * 100 >= x["n"][other].astype(np.int64) * percent)
             open_ = open_[near]
             cross = open_[x["r"][open_] != x["r"][open_ + step]]
-            got.append((cross, cross + step))
+            got.append((cross, cross + step, np.ones(len(cross), np.int32)))
             if sum(len(g[0]) for g in got) > 1 << 18:
-                yield _batch(_NAMES[2:], _KINDS[2:], list(_ordered(x["w"], x["n"], *map(np.concatenate, zip(*got, strict=True)))))
+                yield _batch(_NAMES[2:6], _KINDS[2:6], list(_ordered(x["w"], x["n"], *map(np.concatenate, zip(*got, strict=True)))[:4]))
                 got = []
         if got:
-            yield _batch(_NAMES[2:], _KINDS[2:], list(_ordered(x["w"], x["n"], *map(np.concatenate, zip(*got, strict=True)))))
+            yield _batch(_NAMES[2:6], _KINDS[2:6], list(_ordered(x["w"], x["n"], *map(np.concatenate, zip(*got, strict=True)))[:4]))
 
     combined = lists.select("cls", "n", "root", "tokens").mapInArrow(combine, "part int, rows binary")
     return dealt(combined, n_parts).mapInArrow(pair, "a bigint, b bigint, na int, nb int").distinct()
@@ -296,13 +316,16 @@ def join_components(docs: DataFrame, stage: Stage, percent: int = PERCENT) -> Da
     found = stage.put(_index(docs, classes, percent, n_parts), "found")
     stage.tidy()
     rows = found.filter("kind = 0").select("doc_id", F.col("a").alias("cls"), F.col("na").alias("n"))
-    pairs = stage.put(found.filter("kind = 1").select("a", "b", "na", "nb").distinct(), "pairs")
+    counted = found.filter("kind = 1").groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times"))
+    enough = F.greatest(F.lit(1), F.floor(F.floor(F.least("na", "nb") / EXTEND) / PART))
+    pairs = stage.put(counted.filter(F.col("times") >= enough).drop("times"), "pairs")
     often = found.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("cls"), F.col("nb").alias("n"))
     firsts = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(often.select("cls")).distinct()
     sets = stage.put(_sets(docs, firsts.join(needed, "cls")), "sets")
     stage.tidy()
     links = _verify(pairs, sets, stage, "one", percent)
+    stage.tidy()
     comp = stage.put(components(links, stage, "c"), "comp")
     more = _verify(_combinations(often, comp, n_parts, percent), sets, stage, "two", percent)
     if more.limit(1).count():
