@@ -1,12 +1,15 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block; white space inside a line becomes one space, character references
-are decoded. Lines of menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and
-styles (by element, role, or a word of class or id) have length 0, and so do lines that are mostly link text.
-Where a page has ``article`` or ``main`` elements with text, lines outside have length 0 as well. Text lengths are
-summed over sliding windows of ``BLOCK`` lines. A surge is where the sum rises from 0, a dive where it falls back
-to 0; a stretch between is kept if its largest sum reaches ``SURGE`` of the page's largest (always inside an
-article), and every line in it with text is kept whole.
+are decoded. Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles (by
+element, role, or a word of class or id) are left out as if they weren't there, so they part nothing; lines that are
+mostly link text have length 0, like the empty lines between nested tags. Text lengths are summed over sliding windows
+of ``BLOCK`` lines. A surge is where the sum rises from 0, a dive where it falls back to 0. A stretch between is kept
+if its largest sum reaches ``SURGE`` of the page's largest or ``FULL``; so is one between two kept ones that only
+markup parts from both. Every line with a length in a kept stretch is kept whole.
+
+``article`` and ``main`` are a boundary only where they hold most of the text: then their edges part stretches, nested
+tags inside don't, and what is outside has to reach ``SURGE`` of the largest sum. Elsewhere they are tags like others.
 
 Null or empty html gives an empty text; a broken or unclosed tag is read as far as it goes; an unclosed container
 is ignored. Rows are kept one by one, nothing is capped.
@@ -26,6 +29,8 @@ from .common import table
 
 BLOCK = 3
 SURGE = 0.3
+#: BLOCK full lines: a sum that makes a stretch text, however long the page's longest paragraphs are.
+FULL = 80 * BLOCK
 
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -53,7 +58,7 @@ def _marked(name: str, attrs: str) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length that counts, inside an article) of each line; a container that is left out is an empty line."""
+    """(text, length that counts, inside an article) of each line; a container that is left out only ends a line."""
     page = RAW.sub(" ", page)
     tags = list(TAG.finditer(page))
     closes: dict[int, int] = {}  # of containers to leave out: index of the closing tag
@@ -85,8 +90,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         linked += len(" ".join(text.split())) if anchor else 0
         at = t.end()
         if not closing and i in closes and _marked(name, t[3]):
-            end()
-            out += [("", 0, False)] * BLOCK
+            if "".join(piece).strip():
+                end()
             i = closes[i]
             at = tags[i].end()
         elif name == "a":
@@ -103,18 +108,33 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _bounded(lines: list[tuple[str, int, bool]]) -> list[tuple[str, int, bool]]:
+    """The lines with their articles' edges as gaps, and no empty lines inside articles."""
+    out: list[tuple[str, int, bool]] = []
+    for line in lines:
+        if line[2] and not line[0]:
+            continue
+        if out and line[2] != out[-1][2]:
+            out += [("", 0, line[2])] * BLOCK
+        out.append(line)
+    return out
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    articles = any(own and text for text, _, own in lines)
-    length = [(len(text) if own else 0) if articles else n for text, n, own in lines]
+    own = sum(n for _, n, inside in lines if inside)
+    bounded = 2 * own > sum(n for _, n, _ in lines)
+    if bounded:
+        lines = _bounded(lines)
+    length = [n for _, n, _ in lines]
     sums, total = [], 0
     for i, n in enumerate(length):  # window of the line and the BLOCK - 1 lines after it
         total = sum(length[i : i + BLOCK]) if i == 0 else total - length[i - 1] + (length[i + BLOCK - 1] if i + BLOCK - 1 < len(length) else 0)
         sums.append(total)
-    least = 0 if articles else SURGE * max(sums, default=0)
-    kept: list[str] = []
+    least = SURGE * max(sums, default=0)
+    stretches: list[tuple[int, int]] = []
     i = 0
     while i < len(sums):
         if sums[i] == 0:
@@ -123,9 +143,24 @@ def extract(page: str | None) -> str:
         j = i  # surge
         while j < len(sums) and sums[j] > 0:
             j += 1  # dive
-        if max(sums[i:j]) >= least:
-            kept += [lines[k][0] for k in range(i, j) if length[k] > 0]
+        stretches.append((i, j))
         i = j
+    surged = []
+    for i, j in stretches:
+        outside = bounded and not any(inside and n for _, n, inside in lines[i:j])
+        surged.append(max(sums[i:j]) >= (least if outside else min(least, FULL)))
+    # runs of stretches that only markup parts; in each, all from the first surge to the last
+    kept: list[str] = []
+    run: list[int] = []
+    for k, (i, j) in enumerate(stretches):
+        run.append(k)
+        after = stretches[k + 1][0] if k + 1 < len(stretches) else None
+        if after is not None and not any(text and not n for text, n, _ in lines[j:after]) and not (bounded and lines[i][2] != lines[after][2]):
+            continue
+        strong = [r for r in run if surged[r]]
+        for i, j in stretches[strong[0] : strong[-1] + 1] if strong else []:
+            kept += [text for text, n, _ in lines[i:j] if n > 0]
+        run = []
     return "\n".join(kept)
 
 

@@ -362,6 +362,30 @@ def test_pages():
     assert html_text.extract("plain & simple") == "plain & simple"
 
 
+LONG = ["The first paragraph of the body is a long one, " + "with words and words " * n + "to its end." for n in (20, 30, 25)]
+
+
+def test_pages_without_articles():
+    """Whole texts: surge and dive decide, and what is left out parts nothing."""
+    whole = "Head line & more\nFirst bold text.\nShort.\nQuote <x>"
+    assert html_text.extract(PAGE.replace("<article>", "<div>").replace("</article>", "</div>")) == whole
+    ad, menu = "<div class=ad><p>Buy</p></div>", "<ul>" + "<li><a href=/a>Menu</a></li>" * 4 + "</ul>"
+    body = f"<div><p>{LONG[0]}</p>{ad}<p>Short.</p>{ad}<p>{LONG[1]}</p></div>{ad}<div><p>{LONG[2]}</p></div>"
+    want = "\n".join([LONG[0], "Short.", *LONG[1:]])
+    assert html_text.extract(f"<body><div>Site</div>{menu}{body}{menu}<div>Copyright us</div></body>") == want
+    assert html_text.extract("<div><p>One.</p></div>".join(f"<div><div><p>{t}</p></div></div>" for t in LONG)) == "\nOne.\n".join(LONG)  # short ones between long ones
+    huge = "word " * 2000
+    assert html_text.extract(f"<p>{huge}</p>{menu}<p>{LONG[0]}</p>") == huge.strip() + "\n" + LONG[0]  # FULL
+
+
+def test_an_article_is_a_boundary_only_with_most_text():
+    menu = "<ul>" + "<li><a href=/a>Menu</a></li>" * 4 + "</ul>"
+    body = "".join(f"<div><p>{t}</p></div>" for t in LONG)
+    assert html_text.extract(f"<body>{body}{menu}<article><h3>Related</h3><p>A teaser.</p></article></body>") == "\n".join(LONG)
+    assert html_text.extract(f"<body><p>Crumb</p><article><h1>Head</h1>{body}<section><div><p>End.</p></div></section></article><p>Copyright us</p></body>") == "\n".join(["Head", *LONG, "End."])
+    assert html_text.extract(f"<p>{LONG[0]}</p><article><p>{LONG[1]}</p></article><p>Copyright us</p>") == "\n".join(LONG[:2])  # outside, decided by its sums
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old", 5), (1, "u", PAGE, "old", 5), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long")
     got = html_text.extract_pages(df).collect()
