@@ -1,10 +1,12 @@
 """Language identification by nearest clustered centroid over normalised TF-IDF n-gram vectors.
 
-Features are hashed byte 1- to 4-grams of the lower-cased text (letters and bytes over 127 kept, all else one
-space), counted over the whole text, log-damped, weighted by IDF and normalised. Each language gets several
+Features are hashed byte 1- to 4-grams of the lower-cased text (letters and bytes over 127 kept, digits one
+symbol, all else a space), counted over the whole text, log-damped, weighted by IDF and normalised. Each language gets several
 centroids from spherical k-means; a text goes to the language of the centroid with the largest cosine.
-Rejection is by distance: the training texts' pieces of 1, 2, 4, ... words give, for each length, the cosine that
-nearly all genuine texts reach; a text far below it (``REJECT`` of it) is ``rejected``.
+Rejection is by distance, calibrated by length, that is the number of different n-grams (so repetition doesn't count):
+all texts of the sample, and a piece of each of 1, 2, 4, ... words, are compared with centroids fitted without them. A
+text whose cosine is under ``MARGIN`` of what all but ``LOW`` of the genuine ones of its length and centroid reach is
+``rejected``. A length that a centroid has under ``ENOUGH`` of takes that of all centroids, or of the next shorter length.
 
 The classifier is fitted on a bounded sample of labelled rows: of each language, rows whose doc_id hash is under
 ``SAMPLE / rows``, about ``SAMPLE`` rows, at most ``MAX_FEATURE_MB`` of vectors in all. It is the only sampled step.
@@ -15,6 +17,7 @@ every text ``und``. Rows are kept one by one (repeated rows, null ids); ties go
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,10 @@ BITS = 12
 DIM = 1 << BITS
 SAMPLE = 300
 CENTROIDS = 4
-REJECT = 0.5
+FOLDS = 3
+LOW = 0.01
+MARGIN = 0.75
+ENOUGH = 50
 MAX_FEATURE_MB = 64
 PIECES = tuple(2**k for k in range(13))
 CHUNK = 1 << 20
@@ -37,6 +43,7 @@ CHUNK = 1 << 20
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
+_FOLD[48:58] = 48
 _FOLD[128:] = np.arange(128, 256)
 _LETTER = regex.compile(r"\p{L}")
 _ASCII = regex.compile("[A-Za-z]")
@@ -67,6 +74,44 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def _length(counts: np.ndarray) -> int:
+    """Half powers of two of the number of different n-grams."""
+    return int(2 * np.log2(max(1, np.count_nonzero(counts))))
+
+
+def _means(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
+    """Centroids of each of n languages by spherical k-means, and whose they are."""
+    centres, owner = [], []
+    for i in range(n):
+        own = x[y == i]
+        k = min(CENTROIDS, len(own))
+        if not k:
+            continue
+        c = own[np.linspace(0, len(own) - 1, k).astype(int)]
+        for _ in range(12):
+            near = np.argmax(own @ c.T, 1)
+            c = np.stack([_unit(own[near == j].mean(0)) if (near == j).any() else c[j] for j in range(k)])
+        centres += list(c)
+        owner += [i] * k
+    return np.stack(centres).astype(np.float32), owner
+
+
+def _floors(seen: list[tuple[int, int, float]], n: int) -> np.ndarray:
+    """Least cosine by centroid and length, from (centroid, length, cosine) of genuine texts."""
+    c, size, cos = (np.array(v) for v in zip(*seen))
+    out = np.zeros((n, 2 * BITS + 1))
+    for k in range(out.shape[1]):
+        own = size == k
+        if own.sum() < ENOUGH:
+            out[:, k] = out[:, k - 1] if k else 0.0
+            continue
+        out[:, k] = np.quantile(cos[own], LOW)
+        for j in range(n):
+            if (mine := own & (c == j)).sum() >= ENOUGH:
+                out[j, k] = np.quantile(cos[mine], LOW)
+    return MARGIN * out
+
+
 class Model:
     def __init__(self, langs, idf, centroids, owner, floors):
         self.langs, self.idf, self.centroids, self.owner, self.floors = langs, idf, centroids, owner, floors
@@ -77,11 +122,11 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not self.langs or not has_letter(text):
             return "und", 0.0, True
-        cos = self.centroids @ self.vector(grams(text))
+        counts = grams(text)
+        cos = self.centroids @ self.vector(counts)
         best = int(np.argmax(cos))
         score = float(min(1.0, max(0.0, cos[best])))
-        floor = self.floors[min(len(self.floors) - 1, max(1, len(text.split())).bit_length() - 1)]
-        return self.langs[self.owner[best]], score, score < REJECT * floor
+        return self.langs[self.owner[best]], score, bool(score < self.floors[best, _length(counts)])
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -89,33 +134,26 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     rows = sorted((lang, text) for lang, text in rows if has_letter(text))
     langs = sorted({lang for lang, _ in rows})
     if not rows:
-        return Model([], np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), [], [0.0])
+        return Model([], np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), [], np.zeros((0, 2 * BITS + 1)))
     counts = np.stack([grams(t).astype(np.float32) for _, t in rows])
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     x = _unit(np.log1p(counts) * idf)
     y = np.array([langs.index(lang) for lang, _ in rows])
-    centres, owner = [], []
-    for i in range(len(langs)):
-        own = x[y == i]
-        k = min(CENTROIDS, len(own))
-        c = own[np.linspace(0, len(own) - 1, k).astype(int)]
-        for _ in range(12):
-            near = np.argmax(own @ c.T, 1)
-            c = np.stack([_unit(own[near == j].mean(0)) if (near == j).any() else c[j] for j in range(k)])
-        centres += list(c)
-        owner += [i] * k
-    model = Model(langs, idf, np.stack(centres).astype(np.float32), owner, [])
-    floors = []
-    for size in PIECES:
-        seen = []
-        for _, text in rows[:: max(1, len(rows) // 200)]:
-            words = text.split()
-            for at in range(0, max(1, len(words) - size + 1), max(size, len(words) // 4 or 1)):
-                if piece := " ".join(words[at : at + size]):
-                    if has_letter(piece) and len(words) >= size:
-                        seen.append(float((model.centroids @ model.vector(grams(piece))).max()))
-        floors.append(float(np.quantile(seen, 0.001)) if len(seen) >= 20 else (floors[-1] if floors else 0.0))
-    model.floors = floors
+    centroids, owner = _means(x, y, len(langs))
+    model = Model(langs, idf, centroids, owner, None)
+    fold = np.array([zlib.crc32(t.encode("utf-8", "replace")) % FOLDS for _, t in rows])  # copies are in one fold
+    seen: list[tuple[int, int, float]] = []
+    for f in range(FOLDS):
+        out = np.flatnonzero(fold == f)
+        rest = _means(x[fold != f], y[fold != f], len(langs))[0] if len(out) < len(rows) else centroids
+        for i in out:
+            words = rows[i][1].split()
+            mark = zlib.crc32(rows[i][1].encode("utf-8", "replace"))
+            pieces = [" ".join(words[at : at + n]) for n in PIECES if n < len(words) for at in [mark % (len(words) - n + 1)]]
+            for c in [counts[i], *(grams(p) for p in pieces if has_letter(p))]:
+                v = model.vector(c)
+                seen.append((int(np.argmax(centroids @ v)), _length(c), float((rest @ v).max())))
+    model.floors = _floors(seen, len(owner))
     return model
 
 

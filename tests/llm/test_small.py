@@ -1,6 +1,8 @@
 """Small fixtures against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import base64
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -411,6 +413,29 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in langid.identify(held, nothing).collect()} == {"und"} and langid.identify(empty, model).count() == 0
 
 
+OTHERS = {
+    "pl": "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+    "fi": "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+    "it": "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza",
+    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_unseen_languages_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = langid.fold_of(F.col("doc_id")) == 1
+    model = langid.train(docs.filter(~held))
+    rng = np.random.default_rng(4)
+    letters = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(n))
+    for n in (30, 120, 500):
+        foreign = {k: " ".join(rng.choice(v.split(), n)) for k, v in OTHERS.items()}
+        foreign |= {"letters": letters(n), "base64": base64.b64encode(rng.bytes(5 * n)).decode()}
+        assert [k for k, t in foreign.items() if not model.predict(t)[2]] == []
+    told = [model.predict(r["text"]) for r in docs.filter(held).collect() if langid.has_letter(r["text"])]
+    assert sum(t[2] for t in told) <= 0.005 * len(told)
+
+
 def test_grams_see_whole_texts(monkeypatch):
     text = " ".join(rand_words(3, 2000))
     whole = langid.grams(text)
