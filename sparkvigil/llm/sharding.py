@@ -2,10 +2,11 @@
 
 Documents are linked by a group (here: equal text; null texts are linked with nothing). Labels are shards.
 Each document starts at a hash-random shard; every round, the part of a group that lies outside the shard where
-most of the group is asks to move there, and the shards grant moves within their capacity: a small part of a
-group moves whole with the probability capacity / demand, a large part moves just the granted share. Rounds work
-on one row per group (its count in each shard), so a group of a third of all rows is one short row, and what the
-driver sees in a round is one capacity and one demand for each shard. Only groups of two or more rows take part;
+most of the group is asks to move there, and the shards grant moves within their room, which is free capacity and
+what leaves in the same round: a small part of a group moves whole with the probability room / demand, a large part
+moves just the granted share. Rounds go on until few rows ask to move, ``ROUNDS`` at most. They work on one row per
+group (its count in each shard), so a group of a third of all rows is one short row, and what the driver sees in a
+round is a load for each shard and a demand for each pair of shards. Only groups of two or more rows take part;
 single documents are free to fill the shards up.
 
 Afterwards every shard gets exactly its quota (rows // shards, one more for the first rows % shards): members of a
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 from .common import Stage, table
 
 N_SHARDS = 8
-ROUNDS = 4
+#: Rounds at most; they end before, when at most SETTLED of the linked rows ask to move.
+ROUNDS = 12
+SETTLED = 0.001
 #: Buckets over which running counts are dealt.
 BUCKETS = 256
-#: Part of a shard's free capacity that one round may grant, so that random grants seldom exceed a quota.
+#: Part of a shard's room (free capacity and departures) that one round may grant, so that random grants seldom exceed a quota.
 GRANT = 0.95
 
 
@@ -48,16 +51,37 @@ def _number(df: DataFrame, stage: Stage, name: str, keys: list[str], order: list
     return held.join(shifts, [*keys, "__b"]).withColumn("nr", F.col("__r") - 1 + F.col("__s")).drop("__b", "__r", "__s")
 
 
+def _grants(load: list[int], flow: list[list[int]], capacity: float) -> tuple[list[float], list[float]]:
+    """Share of the moves into each shard that is granted, and the rows that makes: a shard has room for its free
+    capacity and for what leaves it in the same round, which in turn depends on the others' grants."""
+    shards = range(len(load))
+    ask = [sum(flow[i][s] for i in shards) for s in shards]
+    rate = [1.0] * len(load)
+    for _ in range(200):  # from above, so that exchanges aren't held up by each other
+        leaves = [sum(flow[s][t] * rate[t] for t in shards) for s in shards]
+        room = [max(0.0, capacity - load[s] + leaves[s]) for s in shards]
+        now = [min(rate[s], room[s] / ask[s]) if ask[s] else 0.0 for s in shards]
+        if max(abs(a - b) for a, b in zip(rate, now)) < 1e-4:
+            break
+        rate = now
+    rate = [r * GRANT for r in rate]
+    return rate, [r * a for r, a in zip(rate, ask)]
+
+
 def propagate(groups: DataFrame, stage: Stage, capacity: float, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """groups (g1, g2, held: array of counts by shard) after label propagation under the capacity of each shard."""
     shards = range(n_shards)
     for turn in range(rounds):
         best = F.array_max(F.transform("held", lambda n, i: F.struct(n.alias("n"), F.pmod(F.xxhash64("g1", i), F.lit(1009)).alias("tie"), i.alias("i"))))["i"]
         asked = groups.withColumn("best", best).withColumn("away", F.aggregate("held", F.lit(0).cast("long"), lambda a, n: a + n) - F.get("held", F.col("best")))
-        sums = [F.sum(F.get("held", F.lit(s))).alias(f"load{s}") for s in shards] + [F.sum(F.when(F.col("best") == s, F.col("away"))).alias(f"ask{s}") for s in shards]
-        told = asked.agg(*sums).first()  # two numbers a shard
-        free = [max(0.0, capacity - (told[f"load{s}"] or 0)) * GRANT for s in shards]
-        rate = [min(1.0, free[s] / told[f"ask{s}"]) if told[f"ask{s}"] else 0.0 for s in shards]
+        sums = [F.sum(F.get("held", F.lit(s))).alias(f"load{s}") for s in shards]
+        sums += [F.sum(F.when(F.col("best") == s, F.get("held", F.lit(i)))).alias(f"ask{i}_{s}") for i in shards for s in shards if i != s]
+        told = asked.agg(*sums).first()  # what each shard holds, and what asks to go from one to another
+        load = [told[f"load{s}"] or 0 for s in shards]
+        flow = [[told[f"ask{i}_{s}"] or 0 if i != s else 0 for s in shards] for i in shards]
+        if sum(map(sum, flow)) <= SETTLED * sum(load):
+            break
+        rate, free = _grants(load, flow, capacity)
         grant = F.get(F.array(*map(F.lit, rate)), F.col("best"))
         whole = F.get(F.array(*map(F.lit, [f / 50 for f in free])), F.col("best"))
         luck = _unit("g1", "g2", F.lit(turn))

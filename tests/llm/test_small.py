@@ -301,6 +301,18 @@ def test_groups_stay_together_and_hot_groups_split(spark):
     assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in out}
 
 
+@pytest.mark.parametrize(("linked", "size"), [(4000, 2), (3800, 5)])
+def test_groups_stay_together_where_nearly_all_rows_are_linked(spark, linked, size):
+    rows = [(i, f"text {i % (linked // size)}" if i < linked else f"single {i}") for i in range(4000)]
+    text, where, counts = dict(rows), defaultdict(set), Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), Stage(spark, "t")).collect():
+        where[text[r["doc_id"]]].add(r["shard"])
+        counts[r["shard"]] += 1
+    assert set(counts.values()) == {500}
+    cut = sum(len(v) > 1 for v in where.values()) / (linked // size)
+    assert cut <= 0.25, cut
+
+
 # ---- 2 ----
 
 
