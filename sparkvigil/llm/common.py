@@ -60,9 +60,18 @@ class Stage:
         self.spark._jvm.System.gc()
 
 
-def parts(spark: SparkSession) -> int:
-    """Number of blocks that keyed data is dealt into: the session's shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Input bytes, as stored, that a block stands for at most.
+PART_BYTES = 64 << 20
+
+
+def parts(docs: DataFrame) -> int:
+    """Number of blocks that keyed data is dealt into: the session's shuffle partitions, more if the input is larger than so many
+    blocks of ``PART_BYTES``."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    stored = sum(x for x in sizes if x < 1 << 60)  # rows of an RDD have no size
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, -(-stored // PART_BYTES))
 
 
 def dealt(df: DataFrame, n: int) -> DataFrame:

@@ -194,7 +194,7 @@ def dedup_passages(docs: DataFrame, stage: Stage, window: int = WINDOW) -> DataF
     """doc_id, n_words, n_removed, spans (first, end, first, end ... of removed words) and the kept words as text."""
     if window < PERIOD:
         raise ValueError(f"windows have {PERIOD} words at least")
-    n_parts = parts(docs.sparkSession)
+    n_parts = parts(docs)
     found = stage.put(_anchors(docs, window, n_parts), "anchors")
     stage.tidy()
     rows = found.filter("one is null").select("doc_id", "cls", "chk", "n")

@@ -322,7 +322,7 @@ def dedup_bytes(docs: DataFrame, stage: Stage, length: int = LENGTH, gram: int =
     """doc_id, n_bytes, n_removed, spans (first, end, first, end ... of removed bytes) and the kept bytes."""
     if not 8 <= gram <= length:
         raise ValueError("gram must be from 8 to length")
-    n_parts = parts(docs.sparkSession)
+    n_parts = parts(docs)
     found = stage.put(_anchors(docs, length, gram, n_parts), "anchors")
     stage.tidy()
     rows = found.filter("one is null").select("doc_id", "cls", "chk", "n")

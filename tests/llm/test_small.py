@@ -106,6 +106,59 @@ def test_jaccard_families(spark):
     assert table_of(jaccard.join_components(df, Stage(spark, "t")), "doc_id", "n_shingles", "component_id") == plain_join(rows)
 
 
+def just_under(n=150, members=70, changes=4):
+    """A base, copies of it with up to as many changed words as keep them linked, and more that all lie just under the threshold
+    of each other; every size differs a little."""
+    base = rand_words(7, n)
+    rows = [(0, " ".join(base))]
+    for i in range(1, members):
+        b = list(base)
+        far = i % 3 == 0
+        for k in range(changes if far else i % changes):
+            b[(37 * k + 11 * i) % n] = f"s{k}" if i % 7 == 0 else f"m{i}_{k}"
+        rows.append((i, " ".join(b[: n - i % 4])))
+    return rows
+
+
+def plain_links(rows):
+    """Sets of equal texts' ids and the pairs of ids linked."""
+    sets = {i: {tuple(words(t.lower())[k : k + 5]) for k in range(len(words(t)) - 4)} for i, t in rows}
+    ids = sorted(sets)
+    return {(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("changes", [3, 4, 5])
+def test_jaccard_just_under(spark, changes):
+    rows = just_under(changes=changes) + [(1000 + i, t) for i, t in just_under(n=40, changes=changes - 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table_of(jaccard.join_components(df, Stage(spark, "t")), "doc_id", "n_shingles", "component_id") == plain_join(rows)
+
+
+@pytest.mark.parametrize("changes", [2, 4])
+def test_jaccard_pairs(spark, changes):
+    rows = just_under(changes=changes)
+    members, links = jaccard.join_pairs(spark.createDataFrame(rows, "doc_id long, text string"), Stage(spark, "t"))
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["cls"], []).append(r["doc_id"])
+    got = {tuple(sorted((x, y))) for r in links.collect() for x in of[r["a"]] for y in of[r["b"]]}
+    got |= {(x, y) for m in of.values() for x in m for y in m if x < y}
+    assert got == plain_links(rows)
+
+
+def test_jaccard_long_family(spark):
+    """Documents of 60,000 words, all of whose shingles are frequent, just under and just over the threshold."""
+    base = rand_words(9, 60000)
+    rows = []
+    for i in range(20):
+        b = list(base)
+        for k in range(1100 + 30 * i):
+            b[(53 * k + 7 * i) % 60000] = f"x{i}_{k}"
+        rows.append((i, " ".join(b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table_of(jaccard.join_components(df, Stage(spark, "t")), "doc_id", "n_shingles", "component_id") == plain_join(rows)
+
+
 def test_jaccard_edges(spark, empty):
     assert jaccard.join_components(empty, Stage(spark, "t")).count() == 0
     one = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
