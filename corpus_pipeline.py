@@ -21,15 +21,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group; of rows repeated whole (equal id and text) one. Rows
-    without a doc_id stay."""
-    named = docs.filter("doc_id is not null")
-    found = jaccard.join_components(named, Stage(spark, "pipeline-near"))
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    joined = named.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__h", F.xxhash64("text"))
-    first = Window.partitionBy("doc_id", "__h").orderBy(F.hash(*[c for c in docs.columns if c not in ("doc_id", "text")]))
-    once = joined.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
-    return once.unionByName(docs.filter("doc_id is null"))
+    """Keeps one document of each group, that of smallest doc_id (null ids last, ties to the smaller hash of id and text); of
+    rows that repeat id and text one. Rows are judged one by one: by a key of id and text, not by their id."""
+    stage = Stage(spark, "pipeline-near")
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = jaccard.join_components(keyed.select(F.col("__key").alias("doc_id"), "text"), stage)
+    groups = found.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"]
+    kept = keyed.select("__key", "doc_id").join(groups, "__key").groupBy("__group").agg(first.alias("__key")).select("__key").distinct()
+    rest = [F.hash(c) for c in docs.columns if c not in ("doc_id", "text")]
+    once = F.row_number().over(Window.partitionBy("__key").orderBy(*rest, F.col("doc_id")))
+    return keyed.join(kept, "__key", "left_semi").withColumn("__n", once).filter("__n = 1").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
