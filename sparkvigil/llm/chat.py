@@ -7,7 +7,8 @@ repeated rows count as often as they occur. ``op`` is one of
 ``message``     starts message ``msg_id`` with a role and a text (a repeated one starts it anew),
 ``delta``       appends streamed text to the message,
 ``edit``        replaces the message's text,
-``regenerate``  drops the message's text and every message that began after it; later deltas refill it.
+``regenerate``  drops the message's text and every message that stands after it; later deltas refill it, and later
+                events of a dropped message begin it anew, at the end.
 
 Null text is empty, a null role is an empty role, an unknown op is read as ``message``, a null conv_id
 is a conversation of its own. A message that never had a ``message`` event takes the role of its first event.
@@ -48,36 +49,61 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _one_by_one(events: Column) -> Column:
+    """The messages (msg_id, role, text) after each of the sorted events in turn."""
+
+    def step(held: Column, e: Column) -> Column:
+        at = F.array_position(F.transform(held, lambda x: x["msg_id"]), e["msg_id"]).cast("int")
+        text = F.when(e["op"] == "regenerate", F.lit("")).otherwise(e["text"])
+        old = F.get(held, at - 1)
+        now = F.struct(
+            e["msg_id"].alias("msg_id"), F.when(e["op"].isin("delta", "edit", "regenerate") & (at > 0), old["role"]).otherwise(e["role"]).alias("role"),
+            F.when((e["op"] == "delta") & (at > 0), F.concat(old["text"], text)).otherwise(text).alias("text"),
+        )
+        before = F.slice(held, 1, F.when(at > 0, at - 1).otherwise(F.size(held)))
+        after = F.when((at > 0) & (e["op"] != "regenerate"), F.slice(held, at + 1, F.size(held))).otherwise(F.slice(held, 1, 0))
+        return F.concat(before, F.array(now), after)
+
+    none = F.array().cast("array<struct<msg_id:bigint,role:string,text:string>>")
+    return F.aggregate(events, none, step)
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """conv_id, turns: array of (role, text), the final messages in order of their first event."""
+    """conv_id, turns: array of (role, text), the final messages in order of their first event.
+
+    A regeneration drops what began before it; events of a dropped message that follow begin it anew. Only
+    conversations where that happens are folded event by event; elsewhere a message is its last reset and the
+    deltas after it.
+    """
     log = events.select(
-        "conv_id", F.coalesce("msg_id", F.lit(-1)).alias("msg_id"), F.coalesce("seq", F.lit(2**63 - 1)).alias("seq"),
+        "conv_id", F.coalesce("msg_id", F.lit(-1)).cast("long").alias("msg_id"), F.coalesce("seq", F.lit(2**63 - 1)).alias("seq"),
         F.coalesce("op", F.lit("message")).alias("op"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     # one shuffle: dealt by conversation, which also serves the grouping by message
     dealt = log.repartition("conv_id")
     logs = F.array_sort(F.collect_list(F.struct("seq", "op", "role", "text")))
     messages = dealt.groupBy("conv_id", "msg_id").agg(logs.alias("log"))
-    indexed = F.transform("log", lambda e, i: F.struct(i.alias("i"), e["seq"].alias("seq"), e["op"].alias("op"), e["role"].alias("role"), e["text"].alias("text")))
-    messages = messages.withColumn("log", indexed)
-    resets = F.filter("log", lambda e: e["op"] != "delta")
-    messages = messages.withColumn("from", F.coalesce(F.array_max(F.transform(resets, lambda e: e["i"])), F.lit(0)))
-    live = F.filter("log", lambda e: (e["i"] >= F.col("from")) & (e["op"] != "regenerate"))
-    cut = F.filter("log", lambda e: e["op"] == "regenerate")
-    named = F.filter("log", lambda e: ~e["op"].isin("delta", "edit", "regenerate"))
-    messages = messages.select(
-        "conv_id", "msg_id", F.col("log")[0]["seq"].alias("began"),
-        F.coalesce(F.get(named, F.lit(0))["role"], F.col("log")[0]["role"]).alias("role"),
-        F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"),
-        F.array_max(F.transform(cut, lambda e: e["seq"])).alias("cut"),
-    )
-    found = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("began", "msg_id", "role", "text", "cut"))).alias("m"))
-    # a regeneration drops the messages that began after its own and before it
-    cuts = F.filter("m", lambda x: x["cut"].isNotNull())
-    kept = F.when(
-        F.size(cuts) == 0, F.col("m")
-    ).otherwise(F.filter("m", lambda x: ~F.exists(cuts, lambda c: (c["began"] < x["began"]) & (x["began"] <= c["cut"]))))
-    return found.select("conv_id", F.transform(kept, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    began = F.struct(F.col("log")[0]["seq"].alias("began"), "msg_id", "log")
+    found = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(began)).alias("m"))
+
+    def outline(x: Column) -> Column:
+        cut = F.array_max(F.transform(F.filter(x["log"], lambda e: e["op"] == "regenerate"), lambda e: e["seq"]))
+        return F.struct(x["began"].alias("began"), F.element_at(x["log"], -1)["seq"].alias("ended"), cut.alias("cut"))
+
+    def whole(x: Column) -> Column:
+        reset = F.coalesce(F.array_max(F.transform(x["log"], lambda e, i: F.when(e["op"] != "delta", i))), F.lit(0))
+        live = F.filter(F.slice(x["log"], reset + 1, F.size(x["log"])), lambda e: e["op"] != "regenerate")
+        named = F.filter(x["log"], lambda e: ~e["op"].isin("delta", "edit", "regenerate"))
+        role = F.coalesce(F.get(named, F.size(named) - 1)["role"], x["log"][0]["role"])
+        return F.struct(role.alias("role"), F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"))
+
+    found = found.withColumn("outlines", F.transform("m", outline)).withColumn("cuts", F.filter("outlines", lambda x: x["cut"].isNotNull()))
+    dropped = lambda x, c: (c["began"] < x["began"]) & (x["began"] <= c["cut"])
+    again = F.exists("cuts", lambda c: F.exists("outlines", lambda x: dropped(x, c) & ((x["ended"] >= c["cut"]) | (x["began"] == c["cut"])) | (x["began"] == c["began"]) & (x["ended"] >= c["cut"]) & (x["cut"].isNull() | (x["cut"] != c["cut"]))))
+    ordered = F.array_sort(F.flatten(F.transform("m", lambda x: F.transform(x["log"], lambda e: F.struct(e["seq"].alias("seq"), x["msg_id"].alias("msg_id"), e["op"].alias("op"), e["role"].alias("role"), e["text"].alias("text"))))))
+    kept = F.filter("m", lambda x: ~F.exists("cuts", lambda c: dropped(x, c)))
+    turns = F.when(F.size("cuts") == 0, F.transform("m", whole)).when(again, F.transform(_one_by_one(ordered), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))).otherwise(F.transform(kept, whole))
+    return found.select("conv_id", turns.alias("turns"))
 
 
 def render(conversations: DataFrame, learned_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -125,7 +151,7 @@ PROBE = "</s>[INST] ok [/INST]"
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    probe = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', :probe), (-1L, 1L, 'assistant', :probe) AS t(conv_id, turn, role, text)", {"probe": PROBE})
     done = chat_format(conversation_log(rows.unionByName(probe))).select("conv_id", "segments", "formatted")
     learned = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     read = done.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), learned.alias("learned"))
