@@ -11,8 +11,12 @@ markup parts from both. Every line with a length in a kept stretch is kept whole
 ``article`` and ``main`` are a boundary only where they hold most of the text: then their edges part stretches, nested
 tags inside don't, and what is outside has to reach ``SURGE`` of the largest sum. Elsewhere they are tags like others.
 
-Null or empty html gives an empty text; a broken or unclosed tag is read as far as it goes; an unclosed container
-is ignored. Rows are kept one by one, nothing is capped.
+Tags are read in one pass, in time linear in the page. As in browsers, an unclosed comment, script or style, and a tag
+without its ``>``, reach to the end of the page; a quote that never closes is a character like others. Comments and
+scripts part no words. An unclosed container, and an unclosed iframe, textarea or title, is ignored. Words of class, id
+or role mark an element as a whole (``site-header``), unless what stands before says what it goes with
+(``content-with-sidebar``); marked elements and forms that hold an unmarked article, and forms that hold most of the
+page's text, are wrappers and stay. Null or empty html gives an empty text. Rows are kept one by one, nothing is capped.
 """
 
 from __future__ import annotations
@@ -32,11 +36,14 @@ SURGE = 0.3
 #: BLOCK full lines: a sum that makes a stretch text, however long the page's longest paragraphs are.
 FULL = 80 * BLOCK
 
-RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: What ends a tag, or opens a quoted value.
+STOP = re.compile(r">|=\s*[\"']")
 NAMED = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: Elements whose content is no markup; the first two reach to the end of the page if they don't close.
+RAW = ("script", "style", "iframe", "textarea", "title")
 #: Elements and words of class, id or role that mark what isn't the article.
-OUT = frozenset("nav header footer aside form menu dialog button select label fieldset".split())
+OUT = frozenset("nav header footer aside form menu dialog button select label fieldset noscript template svg".split())
 OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
     "dialog disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup "
@@ -47,30 +54,111 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset(("article", "main"))
+#: Before a marking word: the element is something else, which goes with that word or lacks it.
+BESIDE = frozenset("with without has have no and not hide show toggle above below before after".split())
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _marked(name: str, attrs: str) -> bool:
-    if name in OUT:
-        return True
-    if name in CONTENT or name in ("body", "html") or not attrs:
+    """Whether a word of class, id or role says that the element isn't the article."""
+    if name in ("body", "html") or "=" not in attrs:
         return False
-    return any(w in OUT_WORDS for m in NAMED.finditer(attrs) for w in re.split(r"[^a-z]+", m[2].lower()))
+    for m in NAMED.finditer(attrs):
+        for token in m[2].lower().split():
+            for w in re.split(r"[^a-z]+", token):
+                if w in BESIDE:
+                    break
+                if w in OUT_WORDS:
+                    return True
+    return False
+
+
+def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of the tags, in one pass. Comments and raw content have an empty name."""
+    low = page.translate(ASCII_LOWER)
+    out: list[tuple[int, int, str, bool, str]] = []
+    none: set[str] = set()  # quotes and closing tags that don't come again
+    at = page.find("<")
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            end = len(page) if end < 0 else end + 3
+            out.append((at, end, "", False, ""))
+        elif m := NAME.match(page, at + 1):
+            p, quoted = m.end(), False
+            while True:
+                stop = STOP.search(page, p)
+                if stop is None:
+                    break
+                p = stop.end()
+                if page[p - 1] == ">":
+                    break
+                quote = page[p - 1]
+                if quote not in none:
+                    close = page.find(quote, p)
+                    if close < 0:
+                        none.add(quote)
+                    else:
+                        p = close + 1
+            if stop is None:
+                out.append((at, len(page), "", False, ""))
+                break
+            name = m[0].lower()
+            end, closing = p, name[0] == "/"
+            if closing:
+                name = name[1:]
+            elif name in RAW and name not in none:
+                close = low.find("</" + name, end)
+                if close < 0 and name not in RAW[:2]:
+                    none.add(name)
+                else:
+                    close = page.find(">", close) if close >= 0 else -1
+                    end = len(page) if close < 0 else close + 1
+                    name = ""
+            out.append((at, end, name, closing, page[m.end() : p - 1]))
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end + 1
+            out.append((at, end, "", False, ""))
+        else:
+            end = at + 1
+        at = page.find("<", end)
+    return out
+
+
+def _left_out(tags: list[tuple[int, int, str, bool, str]], closes: dict[int, int]) -> set[int]:
+    """Opening tags of the containers to leave out."""
+    marked = {i for i in closes if _marked(tags[i][2], tags[i][4])}
+    articles, text, last = [0], [0], 0  # unmarked articles, and characters of text, before each tag
+    for i, (start, end, name, closing, _) in enumerate(tags):
+        articles.append(articles[-1] + (name in CONTENT and not closing and i not in marked))
+        text.append(text[-1] + start - last)
+        last = end
+    out = set()
+    for i, j in closes.items():
+        name = tags[i][2]
+        if name not in OUT and i not in marked:
+            continue
+        wraps = name == "form" or name not in OUT
+        if wraps and articles[j] > articles[i + 1] or name == "form" and 2 * (text[j + 1] - text[i + 1]) > text[-1]:
+            continue
+        out.add(i)
+    return out
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, length that counts, inside an article) of each line; a container that is left out only ends a line."""
-    page = RAW.sub(" ", page)
-    tags = list(TAG.finditer(page))
-    closes: dict[int, int] = {}  # of containers to leave out: index of the closing tag
+    tags = tags_of(page)
+    closes: dict[int, int] = {}  # index of the closing tag
     open_: dict[str, list[int]] = {}
-    for i, t in enumerate(tags):
-        name = t[2].lower()
-        if name in VOID or t[3].endswith("/"):
+    for i, (_, _, name, closing, attrs) in enumerate(tags):
+        if not name or name in VOID or attrs.endswith("/"):
             continue
-        if not t[1]:
+        if not closing:
             open_.setdefault(name, []).append(i)
         elif open_.get(name):
             closes[open_[name].pop()] = i
+    outside = _left_out(tags, closes)
     out: list[tuple[str, int, bool]] = []
     piece: list[str] = []
     linked, inside, anchor = 0, 0, 0
@@ -84,21 +172,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
     at, i = 0, 0
     while i < len(tags):
-        t = tags[i]
-        text, name, closing = page[at : t.start()], t[2].lower(), bool(t[1])
+        start, past, name, closing, _ = tags[i]
+        text = page[at:start]
         piece.append(text)
         linked += len(" ".join(text.split())) if anchor else 0
-        at = t.end()
-        if not closing and i in closes and _marked(name, t[3]):
+        at = past
+        if i in outside:
             if "".join(piece).strip():
                 end()
             i = closes[i]
-            at = tags[i].end()
+            at = tags[i][1]
         elif name == "a":
             anchor = 0 if closing else int(i in closes)
         elif name == "br":
             piece.append(" ")
-        elif name not in INLINE:
+        elif name and name not in INLINE:
             end()
             inside += (-1 if closing else 1) * (name in CONTENT)
             inside = max(0, inside)

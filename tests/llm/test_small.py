@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import os
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -411,6 +413,21 @@ def test_fold(spark):
     assert chat.chat_format(df.filter(F.lit(False))).count() == 0
 
 
+def test_fold_after_a_cut(spark):
+    """Random logs with regenerations, restarts after them and events of one seq, against one event after the other."""
+    logs = {1: [(1, 1, "message", "user", "a"), (2, 2, "message", "assistant", "b"), (3, 3, "message", "user", "c"), (4, 2, "regenerate", "", ""), (5, 2, "delta", "", "bb"), (6, 3, "message", "user", "cc")]}
+    rng = random.Random(3)
+    for conv in range(2, 300):
+        ties = conv % 3 == 0
+        logs[conv] = [
+            (rng.randrange(12) if ties else k, rng.randrange(5), rng.choice(["message", "message", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant"]), f"t{k}")
+            for k in range(rng.randrange(1, 14))
+        ]
+    df = spark.createDataFrame([(c, *e) for c, log in logs.items() for e in log], "conv_id long, seq long, msg_id long, op string, role string, text string")
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.fold(df).collect()}
+    assert got == {c: plain_fold(log) for c, log in logs.items()} and len(got[1]) == 3
+
+
 # ---- 4 ----
 
 
@@ -453,6 +470,60 @@ def test_an_article_is_a_boundary_only_with_most_text():
     assert html_text.extract(f"<p>{LONG[0]}</p><article><p>{LONG[1]}</p></article><p>Copyright us</p>") == "\n".join(LONG[:2])  # outside, decided by its sums
 
 
+def test_pages_as_they_come():
+    text = "The body of this page is a plain text of some length, long enough to count."
+    assert html_text.extract(f"<html><head><title>T</title><meta name=a><body><p>{text}</p></body></html>") == text  # head without an end
+    for name in ("noscript", "template", "iframe", "svg", "textarea", "title"):
+        assert text in html_text.extract(f"<body><{name}><p>{text}</p></body>")
+    comment = f"<article class=comment><p>A reader says: {text}</p></article>"
+    assert html_text.extract(f"<body><div><p>{text}</p></div>{comment}</body>") == text
+    assert html_text.extract(f"<body><article><p>{text}</p></article>{comment}</body>") == text
+    assert html_text.extract(f"<body><div class='content-with-sidebar'><p>{text}</p></div><div class=right-sidebar>Side</div></body>") == text
+    assert html_text.extract(f"<form id=all><div><p>{text}</p><input name=q></div></form>") == text
+    assert html_text.extract(f"<div class=search-page><main><p>{text}</p></main></div>") == text
+    assert html_text.extract(f"<p>{text} foo<!-- c -->bar<script>x</script>baz</p>") == f"{text} foobarbaz"
+    assert html_text.extract(f"<p title='a > b' lang=x>{text}</p><!-- never closed {text}") == text
+    assert html_text.extract(f"<p title='never closed>{text}</p>") == text
+    assert html_text.extract(f"<p>{text} 1 < 2 <3</p>") == f"{text} 1 < 2 <3"
+
+
+@pytest.mark.parametrize("piece", ["a <b ", "<a b='c ", '<a b="c', "<!-- ", "<title>", "<script", "<p class=", "<div><p>word ", "</", "&lt", "<textarea>", "< ", "a<!--->"])
+def test_pages_malformed_at_a_megabyte(piece):
+    began = time.time()
+    html_text.extract(piece * ((1 << 20) // len(piece)))
+    assert time.time() - began < 20
+
+
+def plain_stretches(lines, block=3, surge=0.3):
+    """Lines kept of a page whose lines all hold text or nothing, by plain sums over each window."""
+    sums = [sum(lines[i : i + block]) for i in range(len(lines))]
+    least = min(surge * max(sums, default=0), 80 * block)
+    kept, at = set(), 0
+    while at < len(sums):
+        to = at
+        while to < len(sums) and sums[to] > 0:
+            to += 1
+        if to > at and max(sums[at:to]) >= least:
+            kept.add((at, to))
+        at = max(to, at + 1)
+    if not kept:
+        return []
+    lo, hi = min(a for a, _ in kept), max(b for _, b in kept)
+    return [i for i in range(lo, hi) if lines[i]]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_surge_and_dive_are_plain_sums(seed):
+    """Pages of blocks and gaps of empty blocks, without any tag or class that says what they are."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(rng.randrange(1, 12)):
+        texts += [" ".join(["w%d" % rng.randrange(99)] * rng.choice([1, 3, 30, 60])) for _ in range(rng.randrange(1, 5))] + [""] * rng.choice([0, 2, 4, 6])
+    page = "".join(f"<p>{t}" for t in texts)
+    got = html_text.extract(page)
+    assert got == "\n".join(texts[i - 1] for i in plain_stretches([0, *map(len, texts)]))
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old", 5), (1, "u", PAGE, "old", 5), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long")
     got = html_text.extract_pages(df).collect()
