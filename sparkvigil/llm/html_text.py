@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,7 @@ BESIDE = frozenset("with without has have no and not hide show toggle above belo
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+@lru_cache(maxsize=1 << 14)
 def _marked(name: str, attrs: str) -> bool:
     """Whether a word of class, id or role says that the element isn't the article."""
     if name in ("body", "html") or "=" not in attrs:
@@ -85,7 +87,7 @@ def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
             end = len(page) if end < 0 else end + 3
             out.append((at, end, "", False, ""))
         elif m := NAME.match(page, at + 1):
-            p, quoted = m.end(), False
+            p = m.end()
             while True:
                 stop = STOP.search(page, p)
                 if stop is None:
@@ -128,7 +130,7 @@ def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
 
 def _left_out(tags: list[tuple[int, int, str, bool, str]], closes: dict[int, int]) -> set[int]:
     """Opening tags of the containers to leave out."""
-    marked = {i for i in closes if _marked(tags[i][2], tags[i][4])}
+    marked = {i for i in closes if tags[i][4] and _marked(tags[i][2], tags[i][4])}
     articles, text, last = [0], [0], 0  # unmarked articles, and characters of text, before each tag
     for i, (start, end, name, closing, _) in enumerate(tags):
         articles.append(articles[-1] + (name in CONTENT and not closing and i not in marked))
