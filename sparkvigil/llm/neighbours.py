@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
 A bounded, seeded sample of vectors gives ``PIVOTS`` pivots. Every vector is represented by its ``PREFIX`` nearest
-pivots in order and posted, with its position, in those pivots' inverted files. A query reads the files of its own
-nearest pivots, sums up the footrule distance (a pivot missing from a prefix counts as position PREFIX), and the
-best ``SHARE`` of a block (``LEAST`` at least) are reranked by exact Euclidean distance in double precision.
+pivots in order, and its position in that order is posted to each pivot's inverted file (a pivot beyond the prefix
+counts as position PREFIX). A query reads the files of its own ``READ`` nearest pivots, sums up the footrule distance,
+and the best are reranked by exact Euclidean distance in double precision: ``SHARE`` of a block and ``RERANK`` for each
+neighbour asked for, by one rule at every size.
 
 The index is dealt by rows: each Arrow batch of vectors is a block with inverted files of its own, all queries go to
 all blocks, block after block of ``QUERY_BLOCK`` queries, and each block returns its k best, which are merged by query.
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 from .common import table, union_all
 
 PIVOTS = 256
-PREFIX = 64
-SHARE = 0.2
-LEAST = 400
-QUERY_BLOCK = 4096
+PREFIX = 256
+READ = 128
+SHARE = 0.02
+RERANK = 5
+#: Queries broadcast at a time, which bounds the bytes sent.
+QUERY_BLOCK = 16384
 
 
 def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -69,31 +72,23 @@ class Block:
         self.ids = [ids[by[a : min(b, a + k + 1)]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         self.x, self.k, self.m = x[first], k, min(prefix, len(pivots))
         near = prefixes(self.x, pivots, self.m)
-        flat = near.ravel()
-        row = np.repeat(np.arange(len(near)), self.m)
-        place = np.tile(np.arange(self.m), len(near))
-        by = np.argsort(flat, kind="stable")
-        self.files, self.places = row[by], place[by]
-        self.starts = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
-
-    def search(self, q: np.ndarray, near: np.ndarray, own: int, share: float, least: int) -> list[tuple[int, float]]:
+        self.files = np.full((len(pivots), len(near)), self.m, np.int16)  # one for each pivot: the position it has for each vector
+        self.files[near.ravel(), np.repeat(np.arange(len(near)), self.m)] = np.tile(np.arange(self.m, dtype=np.int16), len(near))
+
+    def search(self, q: np.ndarray, near: np.ndarray, own: int, share: float, rerank: int) -> list[tuple[int, float]]:
         n = len(self.x)
-        take = min(n, max(least, int(np.ceil(share * n))))
-        if take < n:
-            spans = [(self.starts[p], self.starts[p + 1]) for p in near]
-            rows = np.concatenate([self.files[a:b] for a, b in spans])
-            # what a shared pivot saves against a missing one
-            saved = np.concatenate([(2 * self.m - at - self.places[a:b]) - np.abs(self.places[a:b] - at) for at, (a, b) in enumerate(spans)])
-            best = np.argpartition(-np.bincount(rows, saved, n), take - 1)[:take]
-        else:
-            best = np.arange(n)
+        take = min(n, rerank * self.k + int(np.ceil(share * n)))
+        apart = self.files[near]
+        apart -= np.arange(len(near), dtype=np.int16)[:, None]
+        np.abs(apart, out=apart)
+        best = np.argpartition(apart.sum(0, dtype=np.int32), take - 1)[:take]
         d = np.sqrt(((self.x[best] - q) ** 2).sum(1))
         cut = np.partition(d, min(self.k, len(d) - 1))[min(self.k, len(d) - 1)]
         found = [(float(d[j]), int(i)) for j in np.flatnonzero(d <= cut) for i in self.ids[best[j]] if i != own]
         return [(i, s) for s, i in sorted(found)[: self.k]]
 
 
-def search(data: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def search(data: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, read: int = READ, share: float = SHARE, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of data found for each row of queries."""
     spark = data.sparkSession
     rows = data.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -114,7 +109,7 @@ def search(data: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
         wanted = []
         for i, v in zip(ids, x, strict=True):
             if len(v) in base:
-                wanted.append((int(i), v, prefixes(v[None], base[len(v)], min(prefix, len(base[len(v)])))[0]))
+                wanted.append((int(i), v, prefixes(v[None], base[len(v)], min(read, prefix, len(base[len(v)])))[0]))
         shared = spark.sparkContext.broadcast((base, wanted))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -126,7 +121,7 @@ def search(data: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
                 for dim in set(lengths.tolist()) & set(base):
                     own = lengths == dim
                     index = Block(ids[own], np.stack([v for v, o in zip(x, own, strict=True) if o]), base[dim], k, prefix)
-                    got += [(q, i, s) for q, v, near in wanted if len(v) == dim for i, s in index.search(v, near, q, share, least)]
+                    got += [(q, i, s) for q, v, near in wanted if len(v) == dim for i, s in index.search(v, near, q, share, rerank)]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], ["query_id", "vec_id", "score"])
 
         out.append(rows.mapInArrow(run, "query_id bigint, vec_id bigint, score double"))
