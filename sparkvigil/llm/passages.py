@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .blocks import BLOB, FIRST, FIRST_KINDS, FIRST_NAMES, LONG, batch, blob_rows, by_class, columns_of, document_rows, gather, id_order, merged_runs
+from .blocks import BLOB, BLOB_NAMES, FIRST, FIRST_KINDS, FIRST_NAMES, LONG, batch, blob_rows, by_class, columns_of, document_rows, gather, id_order, merged_runs
 from .common import Stage, dealt, parts, table
 
 WINDOW = 50
@@ -44,6 +44,14 @@ def _identities(words: K.Words) -> tuple[list[int], list[int]]:
     return out[0], out[1]
 
 
+def _several(h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by hash and class: whether each is the first of its hash, and whether two classes have that."""
+    head = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    starts = np.flatnonzero(head)
+    ends = np.append(starts[1:], len(h)) - 1
+    return head, (cls[starts] != cls[ends])[np.cumsum(head) - 1] if len(h) else head
+
+
 def _anchors(docs: DataFrame, window: int, n_parts: int) -> DataFrame:
     """Document rows, and (cls, position) of anchors that another class shares, dealt by class."""
     width = window - PERIOD + 1
@@ -68,24 +76,37 @@ def _anchors(docs: DataFrame, window: int, n_parts: int) -> DataFrame:
                 place = np.arange(len(doc)) - w.first[:-1][doc]
                 use = fresh[doc] & np.isin(place % PERIOD, COVER) & (place + width <= w.count[doc])
                 use = np.flatnonzero(use)
-                h = w.windows(width)[use]
-                rows = list(K.deal((h % U(n_parts)).astype(LONG), n_parts, h, np.array(cls, LONG)[doc[use]], place[use].astype(np.uint32)))
+                h, c, at_word = w.windows(width)[use], np.array(cls, LONG)[doc[use]], place[use].astype(np.uint32)
+                order = np.lexsort((c, h))
+                h, c, at_word = h[order], c[order], at_word[order]
+                # what two classes of the chunk share is known here: of a frequent anchor one row for each chunk meets the others
+                head, several = _several(h, c)
+                asked = head | ~several
+                rows = list(K.deal((h[asked] % U(n_parts)).astype(LONG), n_parts, h[asked], c[asked], at_word[asked], several[asked]))
                 yield blob_rows(rows, FIRST_NAMES, FIRST_KINDS)
+                if not asked.all():
+                    c, at_word = c[~asked], at_word[~asked]
+                    rows = [(p, [None, *x]) for p, x in K.deal(c % n_parts, n_parts, c, at_word)]
+                    yield blob_rows(rows, FIRST_NAMES, FIRST_KINDS)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for b in batches:
-            plain = b.column(5).is_null()
+            plain = b.column(6).is_null()
             if pc.any(plain).as_py():
                 yield b.filter(plain)
-            held.append(b.filter(pc.invert(plain)))
-        h, cls, place = columns_of(iter(held), [U, LONG, np.uint32], 5)
-        order = np.argsort(h, kind="stable")
-        h, cls, place = h[order], cls[order], place[order]
-        head = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-        group = np.cumsum(head) - 1
-        starts = np.flatnonzero(head)
-        several = (np.maximum.reduceat(cls, starts) != np.minimum.reduceat(cls, starts))[group] if len(h) else head
+            b = b.filter(pc.invert(plain))
+            known = b.column(5).is_null()
+            if pc.any(known).as_py():
+                done = b.filter(known)
+                yield pa.RecordBatch.from_arrays([*done.columns[:5], done.column(6), done.column(7), *[pa.nulls(done.num_rows, pa.binary())] * 3], FIRST_NAMES)
+            held.append(b.filter(pc.invert(known)))
+        h, cls, place, sure = columns_of(iter(held), [U, LONG, np.uint32, bool], 5)
+        order = np.lexsort((cls, h))
+        h, cls, place, sure = h[order], cls[order], place[order], sure[order]
+        head, several = _several(h, cls)
+        if len(h):
+            several |= np.logical_or.reduceat(sure, np.flatnonzero(head))[np.cumsum(head) - 1]
         cls, place = cls[several], place[several]
         if len(cls):
             yield blob_rows(list(K.deal(cls % n_parts, n_parts, cls, place)), FIRST_NAMES, FIRST_KINDS)
@@ -114,6 +135,14 @@ def _starts(cols: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         yield c, np.stack([lo, hi], 1).tobytes()
 
 
+def _least(h: np.ndarray, g: np.ndarray, ident: np.ndarray) -> np.ndarray:
+    """The smallest id of each row's window; rows are sorted by hashes and id."""
+    if not len(h):
+        return ident
+    head = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
+    return ident[np.flatnonzero(head)][np.cumsum(head) - 1]
+
+
 def _extend(texts: DataFrame, window: int, n_parts: int) -> DataFrame:
     """From (cls, ord, spans of anchors, text): blobs of (cls, start) of windows that a smaller id holds too."""
 
@@ -140,18 +169,29 @@ def _extend(texts: DataFrame, window: int, n_parts: int) -> DataFrame:
                 h, g = w.windows(window)[use], w.windows(window, 11)[use]
                 order = np.array([x.as_py() for x in b.column(1).slice(at, len(cls))], LONG)
                 place = (use - w.first[:-1][doc]).astype(np.uint32)
-                rows = K.deal((h % U(n_parts)).astype(LONG), n_parts, h, (g >> U(32)).astype(np.uint32), order[doc], np.array(cls, LONG)[doc], place)
-                yield blob_rows(list(rows))
+                ident, c, g = order[doc], np.array(cls, LONG)[doc], (g >> U(32)).astype(np.uint32)
+                # beside a smaller id of the chunk a window goes; only the smallest meets those of other chunks
+                by = np.lexsort((ident, g, h))
+                h, g, ident, c, place = h[by], g[by], ident[by], c[by], place[by]
+                gone = ident > _least(h, g, ident)
+                yield blob_rows(list(K.deal((h[~gone] % U(n_parts)).astype(LONG), n_parts, h[~gone], g[~gone], ident[~gone], c[~gone], place[~gone])))
+                if gone.any():
+                    yield blob_rows([(p, [None, None, None, *x]) for p, x in K.deal(c[gone] % n_parts, n_parts, c[gone], place[gone])])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, g, ident, cls, place = columns_of(batches, [U, np.uint32, LONG, LONG, np.uint32])
+        held = []
+        for b in batches:
+            known = b.column(1).is_null()
+            if pc.any(known).as_py():
+                done = b.filter(known)
+                yield pa.RecordBatch.from_arrays([done.column(0), done.column(4), done.column(5), *[pa.nulls(done.num_rows, pa.binary())] * 3], BLOB_NAMES)
+            held.append(b.filter(pc.invert(known)))
+        h, g, ident, cls, place = columns_of(iter(held), [U, np.uint32, LONG, LONG, np.uint32])
         if not len(h):
             return
-        order = np.lexsort((g, h))
+        order = np.lexsort((ident, g, h))
         h, g, ident, cls, place = h[order], g[order], ident[order], cls[order], place[order]
-        head = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
-        least = np.minimum.reduceat(ident, np.flatnonzero(head))[np.cumsum(head) - 1]
-        gone = ident > least
+        gone = ident > _least(h, g, ident)
         if gone.any():
             yield blob_rows(list(K.deal(cls[gone] % n_parts, n_parts, cls[gone], place[gone])))
 
@@ -197,7 +237,7 @@ def dedup_passages(docs: DataFrame, stage: Stage, window: int = WINDOW) -> DataF
     n_parts = parts(docs)
     found = stage.put(_anchors(docs, window, n_parts), "anchors")
     stage.tidy()
-    rows = found.filter("one is null").select("doc_id", "cls", "chk", "n")
+    rows = found.filter("one is null and cls is not null").select("doc_id", "cls", "chk", "n")
     firsts = rows.groupBy("cls", "chk").agg(F.min(id_order()).alias("ord"), F.min("doc_id").alias("first_id"))
     marked = gather(found.filter("one is not null").select("part", "one", "two", "three", "four", "five"), n_parts, _positions, [LONG, np.uint32])
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
