@@ -5,8 +5,11 @@ another; strings are judged on the input and overlap freely.
 
 Pieces are aligned first. Every window of LENGTH bytes has one anchor, the leftmost of its ``GRAM``-byte strings with
 the smallest hash, so equal windows have equal anchors at equal offsets, and windows with one anchor are neighbours.
-Only anchors that occur at two places or more go on; the bytes of their windows make a piece with the anchor at a
-fixed column. Pieces of one anchor string meet in one part, where the collection is built column by column from the
+They are parted by the side on which they reach farther, and the bytes that all of them have on this side lengthen the
+key (to 250 of 400 bytes), so that a frequent line shorter than a window is many keys. Only keys that occur at two
+places or more go on; the bytes of their windows make a piece with the anchor at a fixed column. What a chunk of texts
+shares within itself is settled there: of a frequent key or piece one row for each chunk meets the others. Pieces of one
+key meet in one part, where the collection is built column by column from the
 right: each round inserts one symbol of every piece in front of its suffix, sorts the suffixes stably by it (the
 symbols in this order are the column of the collection's Burrows-Wheeler transform) and updates the common prefixes
 of neighbours. Columns are read in sequence from an external file, so memory is a few numbers a piece. A window whose
@@ -32,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .blocks import BLOB, FIRST, FIRST_KINDS, FIRST_NAMES, LONG, batch, blob_rows, by_class, columns_of, document_rows, gather, merged_runs
+from .blocks import BLOB, BLOB_NAMES, FIRST, FIRST_KINDS, FIRST_NAMES, LONG, batch, blob_rows, by_class, columns_of, document_rows, gather, merged_runs
 from .common import Stage, dealt, parts, table
 
 LENGTH = 400
 GRAM = 100
 U = np.uint64
 PLACE = U((1 << 26) - 1)
+#: An anchor's place, and how many bytes before it its first and last window start.
+ANCHOR = np.dtype([("a", np.uint32), ("back", np.uint16), ("fore", np.uint16)])
 
 
 def identity(raw: bytes) -> tuple[int, int]:
@@ -46,8 +51,14 @@ def identity(raw: bytes) -> tuple[int, int]:
     return int(a[0]), int(a[1])
 
 
+def reach(length: int, gram: int) -> tuple[int, int]:
+    """Bytes before the anchor that a window has if it starts so many before it or more, and after it if it starts less."""
+    left = (length - gram + 1) // 2
+    return left, length - gram - left + 1
+
+
 def _anchored(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, anchor's hash, anchor, first and last window start) by runs of windows, places within documents."""
+    """(document, key's hash, anchor, first and last window start) by runs of windows of one side, places within documents."""
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (LONG, U, LONG, LONG, LONG))
@@ -77,8 +88,17 @@ def _anchored(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tup
     tail = ok.copy()
     tail[:-1] &= head[1:] | ~ok[1:]
     first, last = np.flatnonzero(head), np.flatnonzero(tail)
-    d = doc[first]
-    return d, h[low[first]], low[first] - offs[d], first - offs[d], last - offs[d]
+    at, (left, right) = low[first], reach(length, gram)
+    runs = []
+    for side, lo, hi, begin, end in (
+        (0, first, np.minimum(last, at - left), at - left, at + gram), (1, np.maximum(first, at - left + 1), last, at, at + gram + right),
+    ):
+        some = np.flatnonzero(lo <= hi)
+        begin, end = begin[some], end[some]
+        key = K.mix((sums[end] - sums[begin]) * K.inverse_powers(len(data) + 1)[begin] + U(side))
+        d = doc[first[some]]
+        runs.append((d, key, at[some] - offs[d], lo[some] - offs[d], hi[some] - offs[d]))
+    return tuple(map(np.concatenate, zip(*runs, strict=True)))
 
 
 def _pieces(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,6 +111,14 @@ def _pieces(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[i
         yield 0, at, part, np.array([0, len(part)])
 
 
+def _several(h: np.ndarray, cls: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by hash, class and anchor: whether each is the first of its hash, and whether that is at two places."""
+    head = np.concatenate(([True], h[1:] != h[:-1]))
+    starts = np.flatnonzero(head)
+    ends = np.append(starts[1:], len(h)) - 1
+    return head, ((cls[starts] != cls[ends]) | (spans["a"][starts] != spans["a"][ends]))[np.cumsum(head) - 1]
+
+
 def _anchors(docs: DataFrame, length: int, gram: int, n_parts: int) -> DataFrame:
     """Document rows, and (cls, anchor, first, last window) of anchors that occur twice, dealt by class."""
 
@@ -111,39 +139,49 @@ def _anchors(docs: DataFrame, length: int, gram: int, n_parts: int) -> DataFrame
                     doc, h, anchor, first, last = _anchored(piece, own, length, gram)
                     use = fresh[doc]
                     doc, h, anchor, first, last = doc[use], h[use], anchor[use] + base, first[use] + base, last[use] + base
-                    if len(h):
-                        rows = K.deal((h % U(n_parts)).astype(LONG), n_parts, h, np.array(cls, LONG)[doc], anchor.astype(np.uint32), (anchor - first).astype(np.uint16), (anchor - last).astype(np.uint16))
-                        yield blob_rows(list(rows), FIRST_NAMES, FIRST_KINDS)
+                    if not len(h):
+                        continue
+                    order = np.lexsort((anchor, np.array(cls, LONG)[doc], h))
+                    h, c, anchor, first, last = h[order], np.array(cls, LONG)[doc[order]], anchor[order], first[order], last[order]
+                    spans = np.zeros(len(h), ANCHOR)
+                    spans["a"], spans["back"], spans["fore"] = anchor, anchor - first, anchor - last
+                    head, several = _several(h, c, spans)
+                    asked = head | ~several
+                    yield blob_rows(list(K.deal((h[asked] % U(n_parts)).astype(LONG), n_parts, h[asked], c[asked], spans[asked], several[asked])), FIRST_NAMES, FIRST_KINDS)
+                    if not asked.all():
+                        c, spans = c[~asked], spans[~asked]
+                        yield blob_rows([(p, [None, *x]) for p, x in K.deal(c % n_parts, n_parts, c, spans)], FIRST_NAMES, FIRST_KINDS)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for b in batches:
-            plain = b.column(5).is_null()
+            plain = b.column(6).is_null()
             if pc.any(plain).as_py():
                 yield b.filter(plain)
-            held.append(b.filter(pc.invert(plain)))
-        h, cls, anchor, back, fore = columns_of(iter(held), [U, LONG, np.uint32, np.uint16, np.uint16], 5)
+            b = b.filter(pc.invert(plain))
+            known = b.column(5).is_null()
+            if pc.any(known).as_py():
+                done = b.filter(known)
+                yield pa.RecordBatch.from_arrays([*done.columns[:5], done.column(6), done.column(7), *[pa.nulls(done.num_rows, pa.binary())] * 3], FIRST_NAMES)
+            held.append(b.filter(pc.invert(known)))
+        h, cls, spans, sure = columns_of(iter(held), [U, LONG, ANCHOR, bool], 5)
         if not len(h):
             return
-        order = np.lexsort((anchor, cls, h))
-        h, cls, anchor, back, fore = (x[order] for x in (h, cls, anchor, back, fore))
-        head = np.concatenate(([True], h[1:] != h[:-1]))
-        place = np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (anchor[1:] != anchor[:-1])))
-        several = np.add.reduceat(place.astype(LONG), np.flatnonzero(head))[np.cumsum(head) - 1] > 1
+        order = np.lexsort((spans["a"], cls, h))
+        h, cls, spans, sure = (x[order] for x in (h, cls, spans, sure))
+        head, several = _several(h, cls, spans)
+        several |= np.logical_or.reduceat(sure, np.flatnonzero(head))[np.cumsum(head) - 1]
         if several.any():
-            cls, anchor, back, fore = (x[several] for x in (cls, anchor, back, fore))
-            yield blob_rows(list(K.deal(cls % n_parts, n_parts, cls, anchor, back, fore)), FIRST_NAMES, FIRST_KINDS)
+            cls, spans = cls[several], spans[several]
+            yield blob_rows(list(K.deal(cls % n_parts, n_parts, cls, spans)), FIRST_NAMES, FIRST_KINDS)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(post, FIRST)
     return dealt(rows, n_parts).mapInArrow(shared, FIRST)
 
 
-ANCHOR = np.dtype([("a", np.uint32), ("back", np.uint16), ("fore", np.uint16)])
-
-
 def _lists(cols: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     rows = np.zeros(len(cols[0]), [("c", LONG), ("x", ANCHOR)])
-    rows["c"], rows["x"]["a"], rows["x"]["back"], rows["x"]["fore"] = cols
+    rows["c"], rows["x"] = cols
     rows = np.unique(rows)
     for c, a, b in by_class(rows["c"]):
         yield c, rows["x"][a:b].tobytes()
@@ -215,6 +253,8 @@ PIECES = 1 << 16
 def _build(texts: DataFrame, length: int, gram: int, n_parts: int) -> DataFrame:
     """From (cls, spans of anchors, text): blobs of (cls, first, end) of bytes in repeated windows, dealt by class."""
 
+    left, right = reach(length, gram)
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, data, offs in K.chunks(b.column(2)):
@@ -227,8 +267,9 @@ def _build(texts: DataFrame, length: int, gram: int, n_parts: int) -> DataFrame:
                         continue
                     for a in np.frombuffer(b.column(1)[at + i].as_py(), ANCHOR):
                         lo, hi = int(a["a"]) - int(a["back"]), int(a["a"]) - int(a["fore"]) + length
-                        key = hashlib.blake2b(own[int(a["a"]) : int(a["a"]) + gram].tobytes(), digest_size=8).digest()
-                        keys.append(key)
+                        begin, end = int(a["a"]), int(a["a"]) + gram
+                        begin, end, side = (begin - left, end, b"l") if int(a["fore"]) >= left else (begin, end + right, b"r")
+                        keys.append(hashlib.blake2b(own[begin:end].tobytes(), digest_size=8, key=side).digest())
                         cls.append(c)
                         anchors.append(a)
                         raw.append(own[lo:hi].tobytes())
@@ -240,11 +281,22 @@ def _build(texts: DataFrame, length: int, gram: int, n_parts: int) -> DataFrame:
                     yield from pack(keys, cls, anchors, raw)
 
     def pack(keys, cls, anchors, raw) -> Iterator[pa.RecordBatch]:
+        cls, anchors = np.array(cls, LONG), np.array(anchors, ANCHOR)
+        same: dict[tuple, list[int]] = {}
+        for i, (key, a, piece) in enumerate(zip(keys, anchors, raw, strict=True)):
+            same.setdefault((key, int(a["back"]), int(a["fore"]), hashlib.blake2b(piece, digest_size=16).digest()), []).append(i)
+        equal = np.array([i for own in same.values() if len(own) > 1 for i in own], LONG)
+        if len(equal):  # all their windows are repeated; one goes on for the others' sake
+            c, a = cls[equal], anchors[equal]
+            first = a["a"] - a["back"]
+            rows = K.deal(c % n_parts, n_parts, c, first, (a["a"] - a["fore"] + np.uint32(length)).astype(np.uint32))
+            yield blob_rows([(p, [None, *x]) for p, x in rows])
+            keep = np.array([own[0] for own in same.values()], LONG)
+            cls, anchors, keys, raw = cls[keep], anchors[keep], [keys[i] for i in keep], [raw[i] for i in keep]
         key = np.frombuffer(b"".join(keys), U)
         part = (key % U(n_parts)).astype(LONG)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(n_parts + 1))
-        cls, anchors = np.array(cls, LONG), np.array(anchors, ANCHOR)
         rows = []
         for p in range(n_parts):
             own = order[ends[p] : ends[p + 1]]
@@ -253,7 +305,14 @@ def _build(texts: DataFrame, length: int, gram: int, n_parts: int) -> DataFrame:
         yield blob_rows(rows)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cls, anchor, data = columns_of(batches, [U, LONG, ANCHOR, np.uint8])
+        held = []
+        for b in batches:
+            known = b.column(1).is_null()
+            if pc.any(known).as_py():
+                done = b.filter(known)
+                yield pa.RecordBatch.from_arrays([done.column(0), *done.columns[2:5], *[pa.nulls(done.num_rows, pa.binary())] * 2], BLOB_NAMES)
+            held.append(b.filter(pc.invert(known)))
+        key, cls, anchor, data = columns_of(iter(held), [U, LONG, ANCHOR, np.uint8])
         if not len(key):
             return
         size = anchor["back"].astype(LONG) - anchor["fore"] + length
@@ -327,7 +386,7 @@ def dedup_bytes(docs: DataFrame, stage: Stage, length: int = LENGTH, gram: int =
     stage.tidy()
     rows = found.filter("one is null").select("doc_id", "cls", "chk", "n")
     firsts = rows.groupBy("cls", "chk").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    marked = gather(found.filter("one is not null").select("part", "one", "two", "three", "four", "five"), n_parts, _lists, [LONG, np.uint32, np.uint16, np.uint16])
+    marked = gather(found.filter("one is not null").select("part", "one", "two", "three", "four", "five"), n_parts, _lists, [LONG, ANCHOR])
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
     wanted = firsts.join(marked, "cls")
     built = stage.put(_build(texts.join(wanted, F.col("d").eqNullSafe(F.col("first_id"))), length, gram, n_parts), "built")

@@ -234,14 +234,32 @@ def test_long_documents_in_pieces(spark, monkeypatch):
     from sparkvigil.llm import kernels
 
     text = " ".join(rand_words(1, 3000))
-    rows = [(1, text), (2, "x" + text[5000:9000] + "y"), (3, text[100:])]
     monkeypatch.setattr(kernels, "CHUNK", 2000)
     data = np.frombuffer(text.encode(), np.uint8)
     parts = list(suffixes._pieces(data, np.array([0, len(data)]), 400))
     got = [np.stack([a + base, f + base, e + base], 1) for _, base, d, o in parts for _, _, a, f, e in [suffixes._anchored(d, o, 400, 100)]]
     starts = np.concatenate([np.arange(f, e + 1) for x in got for _, f, e in x])
     assert sorted(starts) == list(range(len(data) - 399))
-    assert spark.createDataFrame(rows, "doc_id long, text string").count() == 3
+
+
+def test_bytes_of_documents_longer_than_a_chunk(spark):
+    """A copied passage over the border of a chunk, found by aligning the documents where it is known to stand."""
+    from sparkvigil.llm import kernels
+
+    long = " ".join(f"w{x}" for x in np.random.default_rng(4).integers(0, 1 << 40, 90_000))
+    at = kernels.CHUNK - 700
+    assert len(long) > kernels.CHUNK + 5000
+    other = "start " + long[at : at + 2000] + " end"
+    lo, hi = at, at + 2000  # of long; the copy may go on by chance
+    while other[6 + lo - at - 1] == long[lo - 1]:
+        lo -= 1
+    while other[6 + hi - at] == long[hi]:
+        hi += 1
+    rows = [(1, long), (2, other), (3, long[: 300])]
+    got = suffixes.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string"), Stage(spark, "t")).collect()
+    spans = {r["doc_id"]: list(r["spans"]) for r in got}
+    assert spans == {1: [lo, hi], 2: [6 + lo - at, 6 + hi - at], 3: []}
+    assert {r["doc_id"]: bytes(r["kept"]).decode() for r in got}[1] == long[:lo] + long[hi:]
 
 
 def test_bytes_edges(spark, empty):
