@@ -28,7 +28,7 @@ def batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.Recor
 
 def document_rows(ids: list, cls: list, chk: list, n: list, n_parts: int) -> pa.RecordBatch:
     none = pa.nulls(len(ids), pa.binary())
-    return batch(FIRST_NAMES, FIRST_KINDS, [[c % n_parts for c in cls], ids, cls, chk, n, *[none] * 5])
+    return batch(FIRST_NAMES, FIRST_KINDS, [[(c + i) % n_parts for i, c in enumerate(cls)], ids, cls, chk, n, *[none] * 5])
 
 
 def blob_rows(rows: list[tuple[int, list[bytes]]], names=BLOB_NAMES, kinds=BLOB_KINDS) -> pa.RecordBatch:
