@@ -25,7 +25,7 @@ QUIET_STATES = ("COMPLETED", "RUNNING", "PENDING")
 NODE_ARGUMENTS = ("root", "resume", "rootflags", "ro", "rw")
 # Octal escapes of a mount table, the backslash last.
 MOUNT_ESCAPES = {r"\040": " ", r"\011": "\t", r"\012": "\n", r"\134": "\\"}
-#: Least driver of each runtime.
+# Least driver of each runtime.
 MIN_DRIVER = {
     "11.8": "520.61.05",
     "12.0": "525.60.13",
@@ -130,15 +130,21 @@ def truncate_seconds(text: Column) -> Column:
     return F.nullif(nonempty(F.substring_index(text, ".", 1)), F.lit("-"))
 
 
-def version_key(text: Column, width: int = 4) -> Column:
-    """Dotted version as a comparable array; missing and non-numeric parts are 0."""
+def version_key(text: Column, width: Column) -> Column:
+    """Dotted version as a comparable array of so many parts; missing and non-numeric ones are 0."""
     parts = F.transform(F.split(text, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0), width)), 1, width)
+    return F.slice(F.concat(parts, F.array_repeat(F.lit(0), width)), F.lit(1), width)
+
+
+def version_less(a: Column, b: Column) -> Column:
+    """Whether version a is under b, by all parts of the longer one."""
+    width = F.greatest(F.size(F.split(a, r"\.")), F.size(F.split(b, r"\.")))
+    return F.when(a.isNotNull() & b.isNotNull(), version_key(a, width) < version_key(b, width))
 
 
 def driver_too_old(driver: Column, cuda: Column) -> Column:
     """Whether the driver is under the least one of the runtime; null for an unlisted runtime."""
-    return version_key(driver) < version_key(lookup(MIN_DRIVER, cuda))
+    return version_less(driver, lookup(MIN_DRIVER, cuda))
 
 
 def allocated_but_idle(used: Column, total: Column, util: Column) -> Column:

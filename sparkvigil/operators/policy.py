@@ -31,7 +31,7 @@ class Policy:
 
     @classmethod
     def load(cls, path: str) -> Policy:
-        """A missing file is deny-all; an unknown member or version raises."""
+        """A missing file is deny-all, a missing version the current one; an unknown member or version raises."""
         from ..sources.yamlsub import parse
 
         if not os.path.exists(path):
@@ -41,12 +41,29 @@ class Policy:
         odd = set(doc) - {"version", "cluster", "allow", "nodes", "jobs", "dry_run"}
         if odd:
             raise ValueError(f"{path}: unknown keys {', '.join(sorted(odd))}")
-        if str(doc.get("version", "")) != str(S.POLICY_VERSION):
+        if str(doc.get("version", S.POLICY_VERSION)) != str(S.POLICY_VERSION):
             raise ValueError(f"{path}: version {doc.get('version')!r}")
         lists = {k: list(doc.get(k) or []) for k in ("allow", "nodes", "jobs")}
         return cls(cluster=doc.get("cluster", ""), dry_run=doc.get("dry_run", "true") != "false", **lists)
 
 
+    @classmethod
+    def read(cls, path: str) -> tuple[Policy, str]:
+        """The policy and no error, or deny-all and the error: never a policy that was half understood."""
+        try:
+            return cls.load(path), ""
+        except (ValueError, AttributeError, TypeError) as e:
+            return cls(), str(e)
+
+    def encode(self) -> str:
+        """The policy as YAML that ``load`` reads back; members in fixed order."""
+        out = [f"version: {self.version}", f'cluster: "{self.cluster}"']
+        for name in ("allow", "nodes", "jobs"):
+            items = getattr(self, name)
+            out += [f"{name}:", *[f'  - "{x}"' for x in items]] if items else [f"{name}: []"]
+        return "\n".join([*out, f"dry_run: {str(self.dry_run).lower()}", ""])
+
+
 def evaluate(requests: DataFrame, policy: Policy, cluster: str = "", actions: dict[str, str] = SHIPPED_ACTIONS) -> DataFrame:
     """requests (kind, node, job) with allowed, gate (the first that fails) and dry_run."""
     kind, none = F.col("kind"), F.lit("")

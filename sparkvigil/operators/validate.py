@@ -55,5 +55,5 @@ def reject_reason() -> Column:
 
 def validate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid events, quarantined ones with their reject_reason)."""
-    marked = events.withColumn("reject_reason", reject_reason())
+    marked = events.select("*", F.explode(F.array(reject_reason())).alias("reject_reason"))  # made once, whatever is filtered on it
     return marked.filter("reject_reason is null").drop("reject_reason"), marked.filter("reject_reason is not null")

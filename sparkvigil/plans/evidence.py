@@ -38,6 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, which may be one split, dealt to all cores for work on each row; a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if stored < cores * SPLIT_BYTES else df
+
+
+#: Bytes under which a split isn't worth a task of its own.
+SPLIT_BYTES = 32 << 20
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the event schema, with event_id as their input position."""
     e = table(spark, sf_dir, "events")

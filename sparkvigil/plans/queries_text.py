@@ -14,7 +14,7 @@ from ..operators import redact, scan
 from ..operators.validate import registered_only
 from ..schema import registry
 from ..sources import accounting, devices, logs
-from .evidence import EV, events, key_of, table, ts_text
+from .evidence import EV, events, key_of, spread, table, ts_text
 
 SALT = b"a-salt-for-tests-only"
 
@@ -22,7 +22,7 @@ SALT = b"a-salt-for-tests-only"
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.lines_of(table(spark, sf_dir, "documents"))
+    return scan.lines_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def pii_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def reference_pseudonym(kind: str, value: str, salt: bytes = SALT) -> str:
 
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with account names of home paths and addresses rewritten: digest and how long they became."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = redact.structural(F.col("text"), SALT)
     return d.select("doc_id", F.sha2(out, 256).alias("text_sha256"), F.length(out).cast("long").alias("n_chars"), (out != F.col("text")).alias("changed"))
 
@@ -171,7 +171,7 @@ LINE = f"CASE WHEN event_id % 31 = 0 THEN concat('garbled ', props) WHEN event_i
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.lit("log").alias("path"), F.col("event_id").alias("line_no"), F.expr(LINE).alias("line"))
+    return spread(table(spark, sf_dir, "events")).select(F.lit("log").alias("path"), F.col("event_id").alias("line_no"), F.expr(LINE).alias("line"))
 
 
 def signature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,7 @@ SACCT = f"concat(CAST(user_id AS STRING), CASE event_id % 9 WHEN 0 THEN 'x' WHEN
 
 
 def sacct_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("sacct-"), (F.col("user_id")).cast("string")).alias("path"), F.col("event_id").alias("line_no"), F.expr(SACCT).alias("line"))
+    lines = spread(table(spark, sf_dir, "events")).select(F.concat(F.lit("sacct-"), (F.col("user_id")).cast("string")).alias("path"), F.col("event_id").alias("line_no"), F.expr(SACCT).alias("line"))
     e, _ = accounting.events(lines, "cluster-a")
     return e.select(F.col("ordinal").alias("event_id"), ts_text().alias("ts_text"), "node", F.col("jobid.raw").alias("job_raw"), "class", F.col("detail.signature").alias("signature"), key_of().alias("attrs_key"))
 

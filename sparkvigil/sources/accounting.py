@@ -17,8 +17,8 @@ def _is_header(fields: Column) -> Column:
     return F.exists(fields, lambda f: F.lower(S.strip(f)) == "jobid")
 
 
-def rows(lines: DataFrame) -> DataFrame:
-    """path, line_no, row (map of column to text) or warning.
+def _rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pipe rows (path, line_no, fields), and rows of the fixed form (path, line_no, row or warning).
 
     Pipe rows always have the columns FIELDS; a pipe header is only skipped, and ends the widths of a fixed form.
     A fixed row is cut at the places of the last rule's dashes, its last column to the end of the line, and named by
@@ -37,30 +37,43 @@ def rows(lines: DataFrame) -> DataFrame:
     start = lambda i: F.aggregate(F.slice(F.zip_with(gaps, dashes, lambda g, d: F.length(g) + F.coalesce(F.length(d), F.lit(0))), F.lit(1), i), F.lit(0), lambda a, n: a + n) + F.length(F.get(gaps, i))
     spans = F.transform(dashes, lambda d, i: F.struct(start(i).alias("at"), F.length(d).alias("n")))
     marked = kept.select("path", "line_no", "line", F.when(rule, "rule").when(pipe, "pipe").when(head, "head").otherwise("row").alias("is"), F.when(rule, spans).alias("s"), F.when(head, words).alias("h"))
+    # only files that hold lines of the fixed form carry state, and so have their lines in order
+    fixed = marked.filter("`is` <> 'pipe'").select("path").distinct()
+    ordered = marked.join(fixed, "path", "left_semi")
     reset = F.max(F.when(F.col("is") == "pipe", F.col("line_no"))).over(file)
     rule_at = F.max(F.when(F.col("is") == "rule", F.col("line_no"))).over(file)
     head_at = F.max(F.when(F.col("is") == "head", F.col("line_no"))).over(file)
     live = lambda at: at > F.coalesce(reset, F.lit(0))
-    carried = marked.withColumn("spans", F.when(live(rule_at), F.last("s", ignorenulls=True).over(file))).withColumn("cols", F.when(live(head_at), F.last("h", ignorenulls=True).over(file)))
+    carried = ordered.withColumn("spans", F.when(live(rule_at), F.last("s", ignorenulls=True).over(file))).withColumn("cols", F.when(live(head_at), F.last("h", ignorenulls=True).over(file)))
     last = F.size("spans") - 1
     cut = F.transform("spans", lambda s, i: S.strip(F.when(i == last, F.substring(line, s["at"] + 1, F.length(line))).otherwise(F.substring(line, s["at"] + 1, s["n"]))))
     named = lambda cols, vals: F.map_from_entries(F.transform(cols, lambda c, i: F.struct(S.strip(c), F.coalesce(S.strip(F.get(vals, i)), F.lit("")))))
-    fields = F.split(line, r"\|", -1)
-    row = (
-        F.when((F.col("is") == "pipe") & ~_is_header(fields), named(F.array(*map(F.lit, FIELDS)), fields))
-        .when((F.col("is") == "row") & F.col("spans").isNotNull() & F.col("cols").isNotNull(), named(F.col("cols"), cut))
-    )
-    warning = F.when((F.col("is") == "row") & (F.col("spans").isNull() | F.col("cols").isNull()), "no header seen; cannot map columns")
-    out = carried.withColumn("row", row).withColumn("warning", warning)
-    return out.filter("row is not null or warning is not null").select("path", "line_no", "row", "warning")
+    missing = F.col("spans").isNull() | F.col("cols").isNull()
+    rest = carried.filter("`is` = 'row'").select(
+        "path", "line_no", F.when(~missing, named(F.col("cols"), cut)).alias("row"), F.when(missing, "no header seen; cannot map columns").alias("warning"),
+    )
+    piped = kept.filter(line.contains("|")).select("path", "line_no", F.split(line, r"\|", -1).alias("fields")).filter(~_is_header(F.col("fields")))
+    return piped, rest
+
+
+def rows(lines: DataFrame) -> DataFrame:
+    """path, line_no, row (map of column to text) or warning."""
+    piped, rest = _rows(lines)
+    cells = [x for i, c in enumerate(FIELDS) for x in (F.lit(c), F.coalesce(S.strip(F.get("fields", F.lit(i))), F.lit("")))]
+    return piped.select("path", "line_no", F.create_map(*cells).alias("row"), F.lit(None).cast("string").alias("warning")).unionByName(rest)
 
 
 def events(lines: DataFrame, cluster: str, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
     """(events, warnings with path, line_no, warning) of accounting tables."""
     wanted = [*FIELDS, "Reason"]
     get = lambda k: F.coalesce(F.col(f"f_{k}"), F.lit(""))
-    read = rows(lines).select("path", "line_no", "warning", *[F.try_element_at("row", F.lit(k)).alias(f"f_{k}") for k in wanted])
-    told = read.withColumns({"job": parse_job_id(get("JobID")), "state": S.normalize_state(get("State")), "end": S.scheduler_time(get("End"), zone), "blank": get("JobID") == ""})
+    piped, rest = _rows(lines)
+    at = {k: i for i, k in enumerate(FIELDS)}
+    cells = [S.strip(F.get("fields", F.lit(at[k]))) if k in at else F.lit(None).cast("string") for k in wanted]
+    read = piped.select("path", "line_no", F.lit(None).cast("string").alias("warning"), *[c.alias(f"f_{k}") for k, c in zip(wanted, cells, strict=True)])
+    read = read.unionByName(rest.select("path", "line_no", "warning", *[F.try_element_at("row", F.lit(k)).alias(f"f_{k}") for k in wanted]))
+    parsed = F.struct(parse_job_id(get("JobID")).alias("job"), S.normalize_state(get("State")).alias("state"), S.scheduler_time(get("End"), zone).alias("end"), (get("JobID") == "").alias("blank"))
+    told = read.select("*", F.explode(F.array(parsed)).alias("__p")).select("*", "__p.*").drop("__p")  # made once, whatever is filtered on it
     why = (
         F.when(F.col("warning").isNotNull(), F.col("warning"))
         .when(F.col("blank"), None)

@@ -50,8 +50,9 @@ def split_lines(lines: DataFrame, host: str = "", zone: str = "UTC") -> DataFram
         fields = lambda *v: F.struct(*[c.alias(k) for k, c in zip(("time", "node", "unit", "msg"), v, strict=True)])
         return F.when(x.rlike(JOURNAL), fields(g(1), g(2), S.strip(g(3)), S.strip(g(5)))).when(x.rlike(DAEMON), fields(d(1), F.lit(host), F.lit(""), S.strip(d(2))))
 
-    got = lines.withColumn("__s", S.once(F.col("line"), split))
-    return got.withColumns({"ts": S.log_time(F.col("__s.time"), zone), **{k: F.col(f"__s.{k}") for k in ("node", "unit", "msg")}}).drop("__s")
+    # an array of one, taken out by explode: filters on what is made here don't make it again
+    got = lines.select("*", F.explode(F.array(split(F.col("line")))).alias("__s"))
+    return got.select(*lines.columns, F.explode(F.array(S.log_time(F.col("__s.time"), zone))).alias("ts"), "__s.node", "__s.unit", "__s.msg")
 
 
 def signature_number(msg: Column) -> Column:
@@ -76,16 +77,17 @@ def classify(split: DataFrame, cluster: str) -> DataFrame:
     """Events of split lines (ts, node, unit, msg, line_no), with ``job_text`` as found in the line."""
     sig = F.col("hit.sig")
     at = lambda j: F.get(F.array(*[F.lit(s[j]) for s in SIGNATURES]), sig)
-    patterns, groups = F.array(*[F.lit(x[2]) for x in SIGNATURES]), F.array(*[F.lit(_groups(x[3])) for x in SIGNATURES])
 
-    def found(msg: Column) -> Column:
-        def parts(n: Column) -> Column:
-            g = lambda k: F.when(F.get(groups, n) >= k, F.call_function("regexp_extract", msg, F.get(patterns, n), F.lit(k)))
-            return F.when(n.isNotNull(), F.struct(n.alias("sig"), g(1).alias("g1"), g(2).alias("g2")))
+    def parts(n: Column) -> Column:
+        cases = None
+        for i, (_, _, pattern, attrs) in enumerate(SIGNATURES):
+            g = [F.regexp_extract("msg", pattern, k) if _groups(attrs) >= k else F.lit(None).cast("string") for k in (1, 2)]
+            own = F.struct(F.lit(i).alias("sig"), g[0].alias("g1"), g[1].alias("g2"))
+            cases = F.when(n == i, own) if cases is None else cases.when(n == i, own)
+        return cases
 
-        return S.once(signature_number(msg), parts)
-
-    hit = split.filter("ts is not null").withColumn("hit", S.once(F.col("msg"), found)).filter("hit is not null")
+    known = split.filter("ts is not null").select("*", F.explode(F.array(signature_number(F.col("msg")))).alias("__n")).filter("__n is not null")
+    hit = known.select("*", F.explode(F.array(parts(F.col("__n")))).alias("hit")).drop("__n")
 
     def field(key: str) -> Column:
         by_value: dict = {}

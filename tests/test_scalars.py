@@ -56,3 +56,9 @@ def test_pseudonyms(spark):
     assert salt_id(salt) != salt_id(b"f" * 16)
     with pytest.raises(ValueError):
         pseudonym(b"short", "host", F.lit("a"))
+
+
+def test_versions_of_any_length(spark):
+    rows = [("1.2.3.4.5", "1.2.3.4.6", True), ("1.2.3.4.6", "1.2.3.4.5", False), ("1.2", "1.2.0.0.0", False), ("1.2", "1.2.0.0.0.1", True), ("1.x.3", "1.0.3", False), (None, "1", None)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert all(r["want"] == r["got"] for r in df.withColumn("got", S.version_less(F.col("a"), F.col("b"))).collect())
