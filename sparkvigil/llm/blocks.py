@@ -17,6 +17,8 @@ LONG = np.int64
 FIRST = "part int, doc_id bigint, cls bigint, chk bigint, n bigint, one binary, two binary, three binary, four binary, five binary"
 FIRST_NAMES = ["part", "doc_id", "cls", "chk", "n", "one", "two", "three", "four", "five"]
 FIRST_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * 5
+#: An odd factor that scatters ids in steps of any size.
+SPREAD = 0x9E3779B97F4A7C15
 BLOB = "part int, one binary, two binary, three binary, four binary, five binary"
 BLOB_NAMES = ["part", "one", "two", "three", "four", "five"]
 BLOB_KINDS = [pa.int32()] + [pa.binary()] * 5
@@ -27,8 +29,13 @@ def batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.Recor
 
 
 def document_rows(ids: list, cls: list, chk: list, n: list, n_parts: int) -> pa.RecordBatch:
+    """Rows of documents, those of equal texts spread over all parts by their ids.
+
+    The part follows from the row alone and not from its place, so a task run again after a lost executor deals alike.
+    """
     none = pa.nulls(len(ids), pa.binary())
-    return batch(FIRST_NAMES, FIRST_KINDS, [[(c + i) % n_parts for i, c in enumerate(cls)], ids, cls, chk, n, *[none] * 5])
+    part = [(c + ((d or 0) * SPREAD >> 20)) % n_parts for c, d in zip(cls, ids, strict=True)]
+    return batch(FIRST_NAMES, FIRST_KINDS, [part, ids, cls, chk, n, *[none] * 5])
 
 
 def blob_rows(rows: list[tuple[int, list[bytes]]], names=BLOB_NAMES, kinds=BLOB_KINDS) -> pa.RecordBatch:
