@@ -125,7 +125,9 @@ def budget_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.budget(rows, BUDGET, RESERVED).select(F.col("job").cast("long").alias("job"), "ord", "relation")
 
 
-BUDGET_SQL = _rows_sql() + f""", b AS (
+def cut_sql(room: str, joined: str = "") -> str:
+    """k: collapsed rows with their rank rk of being dropped; f: per job the last rank dropped for the lines to fit in ``room`` tokens."""
+    return _rows_sql() + f""", b AS (
   SELECT *, strlen({_TAIL}) + 16 AS bytes, min(ts) FILTER (WHERE relation = 'direct') OVER (PARTITION BY job) AS lo, max(ts) FILTER (WHERE relation = 'direct') OVER (PARTITION BY job) AS hi FROM c
 ), d AS (SELECT *, greatest(0, epoch_us(lo) - epoch_us(ts), epoch_us(ts) - epoch_us(hi)) AS gap FROM b),
 k AS (SELECT *, CASE WHEN relation = 'direct' THEN 2147483647 ELSE row_number() OVER (PARTITION BY job, relation = 'direct' ORDER BY gap DESC, ord DESC) END AS rk FROM d),
@@ -133,7 +135,10 @@ t AS (SELECT job, 0 AS cut FROM k UNION ALL SELECT job, rk FROM k WHERE rk < 214
 z AS (
   SELECT t.job, t.cut, sum(k.bytes) + count(*) * (max(strlen(k.source)) + max(strlen(k.class))) + 15 * count(DISTINCT CAST(k.ts AS DATE)) AS total
   FROM (SELECT DISTINCT job, cut FROM t) t JOIN k ON k.job = t.job AND k.rk > t.cut GROUP BY t.job, t.cut
-), f AS (SELECT t.job, coalesce(min(z.cut) FILTER (WHERE (z.total + 3) // 4 <= {BUDGET - RESERVED}), 2147483646) AS cut FROM (SELECT DISTINCT job FROM t) t LEFT JOIN z ON z.job = t.job GROUP BY t.job)
+), f AS (SELECT t.job, coalesce(min(z.cut) FILTER (WHERE (z.total + 3) // 4 <= {room}), 2147483646) AS cut FROM (SELECT DISTINCT job FROM t) t LEFT JOIN z ON z.job = t.job {joined} GROUP BY t.job)"""
+
+
+BUDGET_SQL = cut_sql(str(BUDGET - RESERVED)) + """
 SELECT CAST(k.job AS BIGINT) AS job, k.ord, k.relation FROM k JOIN f ON k.job = f.job AND k.rk > f.cut"""
 
 # Job ids by suffix.
