@@ -82,6 +82,16 @@ def scheduler_time(text: Column, zone: str = "UTC") -> Column:
     return once(strip(text), lambda t: F.when(~t.isin("", "Unknown", "None", "N/A"), F.coalesce(_local_time(t, zone), F.when(t.rlike(r"(?:Z|[+-]\d{2}:\d{2})$"), _offset_time(t)))))
 
 
+def canonical_time(text: Column, zone: str = "UTC") -> Column:
+    """A typed time (with or without offset, fraction or time of day) in the canonical form; other text as it is."""
+    def read(t: Column) -> Column:
+        short = F.regexp_replace(t, r"(\.\d{6})\d+", "$1")
+        plain = [F.to_utc_timestamp(F.try_to_timestamp(t, F.lit(f)), zone) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")]
+        return F.coalesce(format_time(F.coalesce(_offset_time(short), _local_time(short, zone), *plain)), t)
+
+    return once(strip(text), read)
+
+
 def _normalize_state(text: Column) -> Column:
     """Trimmed, cut at " by "; a trailing + is resolved if just one known state begins so. Empty is null."""
     whole = strip(text)

@@ -83,6 +83,12 @@ def decode_events(spark, path: str) -> DataFrame:
     return out
 
 
+def is_canonical(spark, path: str) -> bool:
+    """Whether a file is, byte for byte, what encode_events makes of the events in it; one that can't be read raises."""
+    with open(path, encoding="utf-8", newline="") as f:
+        return f.read() == encode_events(decode_events(spark, path))
+
+
 def profile_json() -> Column:
     """A node profile with sorted keys."""
     return F.to_json(F.struct("profile_version", "cluster", "node", format_time(F.col("captured_at")).alias("captured_at"), F.map_from_entries(F.array_sort(F.map_entries("keys"))).alias("keys"), F.array_sort("probes").alias("probes")))

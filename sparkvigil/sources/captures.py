@@ -28,6 +28,12 @@ def resolve(files: list[str], name: str, args: list[str]) -> str | None:
     return next((c for c in candidates(name, args) if c in held), None)
 
 
+def resolve_file(files: list[str], path: str) -> str | None:
+    """A file's capture goes by the file's base name."""
+    base = posixpath.basename(path)
+    return base if base in set(files) else None
+
+
 def present(files: list[str], name: str) -> bool:
     """A tool counts as there if any capture of it is."""
     base = posixpath.basename(name)
@@ -53,7 +59,7 @@ def capture_names(outputs: dict[tuple[str, tuple[str, ...]], bytes]) -> dict[tup
     return named
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, name, producer (name without extension), line_no from 1, line. Files are read whole, so that numbers are
     the file's; for larger logs use read_log."""
     texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
