@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..functions.jobid import job_id_error, parse_job_id
 from ..operators import encode, join, policy, sets, timeline, validate
 from . import evidence
@@ -191,11 +192,9 @@ SELECT event_id, CASE event_id % 13 WHEN 0 THEN 'no cluster' WHEN 1 THEN 'unknow
 
 
 def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each source merged, counted by source and class."""
+    """Events of all sources merged, counted by source and class."""
     e = events(spark, sf_dir)
-    merged = e.filter("source = 'journal'")
-    for s in ("slurm", "gpu", "fabric"):
-        merged = merged.unionByName(e.filter(F.col("source") == s))
+    merged = join.merge_events(*[e.filter(F.col("source") == s) for s in S.SOURCES])
     return merged.groupBy("source", "class").agg(F.count("*").alias("n"), F.min("ordinal").alias("first_id"))
 
 
@@ -305,7 +304,7 @@ SELECT job, {", ".join(f"strftime({e}, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS {n}"
     "job_id_parse": JOB_PARSE_SQL,
     "job_id_invalid": JOB_INVALID_SQL,
     "validate_reject": VALIDATE_SQL,
-    "merge_union": f"WITH {EV} SELECT source, class, count(*) AS n, min(event_id) AS first_id FROM ev WHERE source IN ('journal', 'slurm', 'gpu', 'fabric') GROUP BY source, class",
+    "merge_union": f"WITH {EV} SELECT source, class, count(*) AS n, min(event_id) AS first_id FROM ev GROUP BY source, class",
     "unread_except": "SELECT DISTINCT concat('capture-', CAST(user_id AS STRING), '.txt') AS name FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100)",
     "multiset_diff": f"""WITH {EV}, d AS (SELECT class, signature, node, CAST(sum(CASE WHEN day(ts) <= 15 THEN 1 ELSE -1 END) AS BIGINT) AS d FROM ev GROUP BY class, signature, node)
 SELECT class, signature, node, greatest(d, 0) AS missing, greatest(-d, 0) AS extra FROM d WHERE d <> 0""",

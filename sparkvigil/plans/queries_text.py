@@ -13,7 +13,7 @@ from ..functions.pseudonym import PREFIXES, pads, pseudonym
 from ..operators import redact, scan
 from ..operators.validate import registered_only
 from ..schema import registry
-from ..sources import accounting, devices, logs
+from ..sources import accounting, devices, hosts, logs
 from .evidence import EV, events, key_of, spread, table, ts_text
 
 SALT = b"a-salt-for-tests-only"
@@ -230,6 +230,18 @@ def sacct_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("ordinal").alias("event_id"), ts_text().alias("ts_text"), "node", F.col("jobid.raw").alias("job_raw"), "class", F.col("detail.signature").alias("signature"), key_of().alias("attrs_key"))
 
 
+def sacct_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table in the fixed form: a header and a rule in each file, then rows cut by the rule's places."""
+    e = table(spark, sf_dir, "events")
+    path, wide = F.concat(F.lit("sacct-"), F.col("user_id").cast("string")).alias("path"), 22
+    cells = F.transform(F.split(F.expr(SACCT), r"\|"), lambda x: F.rpad(x, wide, " "))
+    rows = e.select(path, (F.col("event_id") + 10).alias("line_no"), F.array_join(cells, " ").alias("line"))
+    head = F.array(F.lit(" ".join(f"{c:<{wide}}" for c in accounting.FIELDS)), F.lit(" ".join("-" * wide for _ in accounting.FIELDS)))
+    top = e.select(path).distinct().select("path", F.posexplode(head).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + F.lit(1).cast("long"))
+    found, _ = accounting.events(top.unionByName(rows), "cluster-a")
+    return found.select((F.col("ordinal") - 10).alias("event_id"), ts_text().alias("ts_text"), "node", F.col("jobid.raw").alias("job_raw"), "class", F.col("detail.signature").alias("signature"), key_of().alias("attrs_key"))
+
+
 SACCT_SQL = f"""
 WITH s AS (SELECT event_id, ts, user_id, {NORMAL} AS state, {STAMP} AS stamp FROM events WHERE event_id % 9 <> 0 AND event_id % 50 <> 0),
 c AS (SELECT *, CASE state WHEN 'OUT_OF_MEMORY' THEN 'resource.oom' WHEN 'TIMEOUT' THEN 'resource.walltime_exceeded' WHEN 'CANCELLED' THEN 'sched.cancelled' WHEN 'NODE_FAIL' THEN 'sched.node_fail' WHEN 'FAILED' THEN 'app.nonzero_exit' ELSE 'unknown' END AS class FROM s WHERE state IS NOT NULL AND state <> 'COMPLETED')
@@ -287,6 +299,37 @@ def mount_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", S.unescape_mount(text).alias("out"))
 
 
+def typed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times in the five forms that are typed, in the canonical one."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    forms = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS'Z'", None, "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+    ahead = F.date_format(F.col("ts") + F.make_dt_interval(hours=F.lit(2)), "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+    typed = F.coalesce(*[F.when(F.col("event_id") % 5 == i, F.date_format("ts", f) if f else ahead) for i, f in enumerate(forms)])
+    return e.select("event_id", S.canonical_time(typed).alias("out"))
+
+
+TYPED_SQL = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' WHEN 4 THEN strftime(ts, '%Y-%m-%dT00:00:00.000000000Z')
+  ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.000000000Z') END AS out FROM events"""
+
+#: Files captured on the host of a supplier.
+CAPTURED = {
+    "os-release": "concat('ID=\"n', s_nationkey, '\"')", "environ.txt": "'MODULEPATH=/b:/a:/b'", "scontrol.txt": "concat('slurm 23.02.', s_suppkey % 7)",
+    "slurm.conf": "concat('clustername = c', s_nationkey, ' # by hand')", "mounts": "concat('s:/x /scratch', s_suppkey % 3, ' lustre rw')",
+}
+
+
+def host_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What discovery makes of the captured files of every host."""
+    held = F.array(*[F.struct(F.lit(n).alias("name"), F.expr(x).alias("line")) for n, x in CAPTURED.items()])
+    lines = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("host"), F.inline(held)).withColumn("line_no", F.lit(1).cast("long"))
+    return hosts.discover(lines)
+
+
+FACTS_SQL = """SELECT CAST(s_suppkey AS STRING) AS host,
+  unnest(['cluster', 'scheduler.kind', 'scheduler.version', 'scheduler.config_path', 'modules.kind', 'modules.roots', 'os.id', 'mounts', 'bmc.kind']) AS key,
+  unnest([concat('c', s_nationkey), 'slurm', concat('23.02.', s_suppkey % 7), '/etc/slurm/slurm.conf', 'none', '/a,/b', concat('n', s_nationkey), concat('/scratch', s_suppkey % 3, '(lustre)'), 'none']) AS value FROM supplier"""
+
+
 # ---- devices ----
 
 STDERR = """CASE WHEN event_type = 'signup' THEN concat('n:1:2 [2] NCCL INFO comm 0x5 rank ', CAST(event_id % 3 AS STRING), ' nranks ', CAST(8 + event_id % 9 AS STRING), ' busId 47 commId 0x', CAST(event_id AS STRING), ' - Init')
@@ -386,7 +429,7 @@ cmdline_normalize = _scalar(CMDLINE, S.normalize_cmdline, "cmdline_normalize")
 log_time = _scalar(TIMES, lambda c: S.format_time(S.log_time(c, "Europe/Berlin")), "log_time")
 
 QUERIES = {f.__name__: f for f in (
-    pii_findings, pii_by_rule, pii_suppressed, pseudonyms, redact_text, redact_bundle, signature_match, log_warnings, sacct_parse, state_normalize, bytes_of, seconds_of, version_compare,
+    pii_findings, pii_by_rule, pii_suppressed, pseudonyms, redact_text, redact_bundle, signature_match, log_warnings, sacct_parse, sacct_fixed, typed_times, host_facts, state_normalize, bytes_of, seconds_of, version_compare,
     cmdline_normalize, mount_unescape, log_time, nccl_asof, gpu_idle, ibstat_carry, registered_attrs,
 )}
 SQL = {
@@ -399,6 +442,9 @@ SQL = {
     "signature_match": _signature_sql(),
     "log_warnings": WARN_SQL,
     "sacct_parse": SACCT_SQL,
+    "sacct_fixed": SACCT_SQL,
+    "typed_times": TYPED_SQL,
+    "host_facts": FACTS_SQL,
     "state_normalize": f"SELECT event_id, {NORMAL} AS out FROM events",
     "bytes_of": BYTES_SQL,
     "seconds_of": SECONDS_SQL,
