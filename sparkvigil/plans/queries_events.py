@@ -217,9 +217,10 @@ def source_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declared_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes declared for node-0001 against those seen on node-0002, where they differ."""
-    e = events(spark, sf_dir)
-    return sets.symmetric_difference(e.filter("node = 'node-0001'").select("class", "node").select("class"), e.filter("node = 'node-0002' and source <> 'gpu'").select("class"))
+    """Classes by node and hour of the day: those of the month's first half, taken as declared, against the second's."""
+    e = events(spark, sf_dir).select("ts", "node", "class", F.hour("ts").alias("hour"))
+    early, keys = F.dayofmonth("ts") <= 15, ["node", "class", "hour"]
+    return sets.symmetric_difference(e.filter(early).select(keys), e.filter(~early).select(keys))
 
 
 def miss_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +229,7 @@ def miss_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warning_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = evidence.table(spark, sf_dir, "events").filter("value < 5").select(F.col("event_type").alias("kind"), F.col("event_id").alias("line_no"), F.col("props").alias("line"))
+    e = evidence.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("line_no"), F.col("props").alias("line"))
     return sets.aggregated_warnings(e)
 
 
@@ -309,10 +310,10 @@ SELECT job, {", ".join(f"strftime({e}, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS {n}"
     "multiset_diff": f"""WITH {EV}, d AS (SELECT class, signature, node, CAST(sum(CASE WHEN day(ts) <= 15 THEN 1 ELSE -1 END) AS BIGINT) AS d FROM ev GROUP BY class, signature, node)
 SELECT class, signature, node, greatest(d, 0) AS missing, greatest(-d, 0) AS extra FROM d WHERE d <> 0""",
     "source_gaps": f"WITH {EV} SELECT source FROM (VALUES ('fabric'), ('gpu'), ('journal'), ('site'), ('slurm')) t(source) WHERE source NOT IN (SELECT source FROM ev)",
-    "declared_classes": f"""WITH {EV}, a AS (SELECT DISTINCT class FROM ev WHERE node = 'node-0001'), b AS (SELECT DISTINCT class FROM ev WHERE node = 'node-0002' AND source <> 'gpu')
-SELECT class, 'declared' AS side FROM (SELECT class FROM a EXCEPT SELECT class FROM b) UNION ALL SELECT class, 'actual' FROM (SELECT class FROM b EXCEPT SELECT class FROM a)""",
+    "declared_classes": f"""WITH {EV}, k AS (SELECT node, class, CAST(hour(ts) AS INT) AS hour, day(ts) <= 15 AS early FROM ev)
+SELECT node, class, hour, CASE WHEN bool_or(early) THEN 'declared' ELSE 'actual' END AS side FROM k GROUP BY node, class, hour HAVING bool_or(early) <> bool_or(NOT early)""",
     "miss_by_kind": "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY ROLLUP (event_type)",
-    "warning_agg": "SELECT event_type AS kind, count(*) AS n, min(event_id) AS first_line, arg_min(props, event_id) AS example FROM events WHERE value < 5 GROUP BY event_type",
+    "warning_agg": "SELECT event_type AS kind, count(*) AS n, min(event_id) AS first_line, arg_min(props, event_id) AS example FROM events GROUP BY event_type",
     "capability_gaps": f"WITH {_CAPS} SELECT source, name FROM c WHERE NOT available",
     "capability_report": f"WITH {_CAPS} SELECT source, count(*) AS capabilities, count(*) FILTER (WHERE NOT available) AS missing, bool_and(available) AS ok FROM c GROUP BY source",
     "policy_decide": POLICY_SQL,

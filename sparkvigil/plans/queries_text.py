@@ -123,30 +123,34 @@ SELECT doc_id, sha256(t) AS text_sha256, length(t) AS n_chars, t <> text AS chan
 UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL"""
 
 
+#: Where a made-up event has its free-form text: an identifying key if its class has one, else one that stays as it is.
+FREE = "CASE class WHEN 'app.nonzero_exit' THEN 'command' WHEN 'resource.oom' THEN 'cgroup' ELSE 'signal' END"
+
+
 def redact_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with users and a free-form path (command) that names their host, redacted."""
+    """All events, with users and a text that names host, user and an address, redacted."""
     e = events(spark, sf_dir)
     user = F.concat(F.lit("u"), (F.col("ordinal") % 40).cast("string"))
-    attrs = F.create_map(F.lit("user"), user, F.lit("command"), F.concat(F.lit("/opt/run/"), F.col("node"), F.lit("/"), user, F.lit(" 10.1.2.3")), F.lit("state"), F.lit("S1"))
-    e = e.filter("class = 'app.nonzero_exit'").withColumn("detail", F.struct(F.col("detail.signature").alias("signature"), attrs.alias("attrs")))
-    r = redact.redact_events(e, SALT)
-    return r.select(F.col("ordinal").alias("event_id"), "cluster", "node", *[F.element_at("detail.attrs", k).alias(k) for k in ("user", "command", "state")])
+    free = F.concat(F.lit("/opt/run/"), F.col("node"), F.lit("/"), user, F.lit(" 10.1.2.3"))
+    attrs = F.create_map(F.lit("user"), user, F.expr(FREE), free, F.lit("state"), F.lit("S1"))
+    r = redact.redact_events(e.withColumn("detail", F.struct(F.col("detail.signature").alias("signature"), attrs.alias("attrs"))), SALT)
+    return r.select(F.col("ordinal").alias("event_id"), "cluster", "node", F.expr(FREE).alias("key"), *[F.try_element_at("detail.attrs", k).alias(n) for n, k in (("user", F.lit("user")), ("free", F.expr(FREE)), ("state", F.lit("state")))])
 
 
 def _bundle_sql() -> str:
-    replaced = "c0"
     return f"""
 WITH {EV}, e AS (
-  SELECT event_id, cluster, node, concat('u', CAST(event_id % 40 AS STRING)) AS usr FROM ev WHERE class = 'app.nonzero_exit'
+  SELECT event_id, cluster, node, {FREE} AS key, concat('u', CAST(event_id % 40 AS STRING)) AS usr FROM ev
 ), p AS (
   SELECT 'host' AS kind, node AS f, {_pseudonym_sql("host", "node")} AS t FROM (SELECT DISTINCT node FROM e WHERE node <> '')
   UNION ALL SELECT 'user', usr, {_pseudonym_sql("user", "usr")} FROM (SELECT DISTINCT usr FROM e)
   UNION ALL SELECT 'cluster', 'cluster-a', {_pseudonym_sql("cluster", "'cluster-a'")}
 ), w AS (SELECT list({{'f': f, 't': t}} ORDER BY strlen(f) DESC, f, kind) AS ws FROM p),
 x AS (SELECT e.*, {_pseudonym_sql("addr", "'10.1.2.3'")} AS addr FROM e)
-SELECT event_id, {_pseudonym_sql("cluster", "cluster")} AS cluster, {_pseudonym_sql("host", "node")} AS node, {_pseudonym_sql("user", "usr")} AS user,
-  list_reduce(list_transform(ws, lambda p: p), lambda a, p: {{'f': replace(a.f, p.f, p.t), 't': ''}}, {{'f': concat('/opt/run/', node, '/', usr, ' ', addr), 't': ''}}).f AS command, 'S1' AS state
-FROM x, w""".replace(replaced, "c0")
+SELECT event_id, {_pseudonym_sql("cluster", "cluster")} AS cluster, {_pseudonym_sql("host", "node")} AS node, key, {_pseudonym_sql("user", "usr")} AS user,
+  CASE WHEN key = 'signal' THEN concat('/opt/run/', node, '/', usr, ' 10.1.2.3')
+    ELSE list_reduce(ws, lambda a, p: {{'f': replace(a.f, p.f, p.t), 't': ''}}, {{'f': concat('/opt/run/', node, '/', usr, ' ', addr), 't': ''}}).f END AS free, 'S1' AS state
+FROM x, w"""
 
 
 # ---- readers ----
