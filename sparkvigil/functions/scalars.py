@@ -178,13 +178,13 @@ def unescape_mount(text: Column) -> Column:
 
 def attr_string(attrs: Column) -> Column:
     """Sorted k=v joined by spaces; empty for no attrs."""
-    pairs = F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    pairs = F.transform(F.sort_array(F.map_entries(attrs)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.coalesce(F.array_join(pairs, " "), F.lit(""))
 
 
 def attrs_key(attrs: Column) -> Column:
     """Canonical text of a map, for grouping and order."""
-    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(attrs)))), F.lit("{}"))
+    return F.coalesce(F.to_json(F.map_from_entries(F.sort_array(F.map_entries(attrs)))), F.lit("{}"))
 
 
 def tokens(text: Column) -> Column:

@@ -27,7 +27,7 @@ def job_json(job: Column) -> Column:
 def event_json() -> Column:
     """Field order ts, cluster, node, jobid, source, class, detail; node and attrs only where there are any."""
     attrs = F.col("detail")["attrs"]
-    ordered = F.when(F.size(attrs) > 0, F.map_from_entries(F.array_sort(F.map_entries(attrs))))
+    ordered = F.when(F.size(attrs) > 0, F.map_from_entries(F.sort_array(F.map_entries(attrs))))
     head = _members(format_time(F.col("ts")).alias("ts"), F.col("cluster"), nonempty(F.col("node")).alias("node"))
     tail = _members(F.col("source"), F.col("class"), F.struct(F.col("detail")["signature"].alias("signature"), ordered.alias("attrs")).alias("detail"))
     return F.concat(F.lit("{"), head, F.lit(',"jobid":'), job_json(F.col("jobid")), F.lit(","), tail, F.lit("}"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.jobid import parse_job_id
+from ..functions.scalars import once
 
 
 def _keys(pii: bool | None = None) -> Column:
@@ -34,11 +35,12 @@ def registered_only(name: Column, attrs: Column) -> Column:
 def reject_reason() -> Column:
     """Why an event is invalid, the first check that fails; null for a valid one."""
     attrs, name = F.col("detail")["attrs"], F.col("class")
-    keys = F.array_sort(F.map_keys(F.coalesce(attrs, F.create_map().cast("map<string,string>"))))
+    keys = F.sort_array(F.map_keys(F.coalesce(attrs, F.create_map().cast("map<string,string>"))))
     known = F.coalesce(F.try_element_at(_keys(), name), F.array().cast("array<string>"))
     bad = F.get(F.filter(keys, lambda k: ~F.array_contains(known, k) | (F.octet_length(F.try_element_at(attrs, k)) > S.MAX_VALUE_BYTES)), F.lit(0))
-    reparsed, signature = parse_job_id(F.col("jobid")["raw"]), F.col("detail")["signature"]
-    consistent = F.col("jobid").isNull() | F.coalesce(F.equal_null(reparsed["base"], F.col("jobid")["base"]) & F.equal_null(reparsed["array_task"], F.col("jobid")["array_task"]) & F.equal_null(reparsed["step"], F.col("jobid")["step"]), F.lit(False))
+    signature, job = F.col("detail")["signature"], F.col("jobid")
+    as_read = once(parse_job_id(job["raw"]), lambda j: F.equal_null(j["base"], job["base"]) & F.equal_null(j["array_task"], job["array_task"]) & F.equal_null(j["step"], job["step"]))
+    inconsistent = F.when(job.isNotNull() & ~F.coalesce(as_read, F.lit(False)), "inconsistent job id")
     return (
         F.when(F.col("ts").isNull(), "no timestamp")
         .when(F.coalesce("cluster", F.lit("")) == "", "no cluster")
@@ -47,9 +49,7 @@ def reject_reason() -> Column:
         .when(F.coalesce(signature, F.lit("")) == "", "no signature")
         .when(F.octet_length(signature) > S.MAX_SIGNATURE_BYTES, "signature too long")
         .when(F.size(keys) > S.MAX_ATTRS, "too many attrs")
-        .when(bad.isNotNull() & ~F.array_contains(known, bad), F.concat(F.lit("unregistered attr "), bad))
-        .when(bad.isNotNull(), F.concat(F.lit("attr too long "), bad))
-        .when(~consistent, "inconsistent job id")
+        .otherwise(F.coalesce(once(bad, lambda k: F.concat(F.when(F.array_contains(known, k), "attr too long ").otherwise("unregistered attr "), k)), inconsistent))
     )
 
 

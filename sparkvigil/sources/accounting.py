@@ -13,8 +13,9 @@ from ..operators.validate import registered_only
 FIELDS = "JobID JobName Partition Account AllocCPUS State ExitCode ReqMem MaxRSS Timelimit Elapsed NodeList Start End User".split()
 
 
-def _is_header(fields: Column) -> Column:
-    return F.exists(fields, lambda f: F.lower(S.strip(f)) == "jobid")
+def _is_header(line: Column, fields: Column) -> Column:
+    """Whether a field is the job id's name; fields are looked at only in a line that holds the name somewhere."""
+    return F.lower(line).contains("jobid") & F.exists(fields, lambda f: F.lower(S.strip(f)) == "jobid")
 
 
 def _rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +31,7 @@ def _rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = lines.filter(S.strip("line") != "")
     rule = S.strip("line").rlike("^[- ]+$")
     words = F.split(S.strip("line"), r"\s+")
-    head = ~pipe & ~rule & _is_header(words)
+    head = ~pipe & ~rule & _is_header(line, words)
     # spans of dashes: starts and lengths from the pieces of the rule line
     dashes = F.regexp_extract_all(line, F.lit("-+"), F.lit(0))
     gaps = F.split(line, "-+", -1)
@@ -52,7 +53,7 @@ def _rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = carried.filter("`is` = 'row'").select(
         "path", "line_no", F.when(~missing, named(F.col("cols"), cut)).alias("row"), F.when(missing, "no header seen; cannot map columns").alias("warning"),
     )
-    piped = kept.filter(line.contains("|")).select("path", "line_no", F.split(line, r"\|", -1).alias("fields")).filter(~_is_header(F.col("fields")))
+    piped = lines.filter(pipe & ~_is_header(line, F.split(line, r"\|", -1))).select("path", "line_no", F.split(line, r"\|", -1).alias("fields"))
     return piped, rest
 
 
