@@ -4,7 +4,7 @@ Documents are linked by a group (here: equal text; null texts are linked with no
 Each document starts at a hash-random shard; every round, the part of a group that lies outside the shard where
 most of the group is asks to move there, and the shards grant moves within their room, which is free capacity and
 what leaves in the same round: a small part of a group moves whole with the probability room / demand, a large part
-moves just the granted share. Rounds go on until few rows ask to move, ``ROUNDS`` at most. They work on one row per
+moves just the granted share, rounded at random. Rounds go on until few rows ask to move, ``ROUNDS`` at most. They work on one row per
 group (its count in each shard), so a group of a third of all rows is one short row, and what the driver sees in a
 round is a load for each shard and a demand for each pair of shards. Only groups of two or more rows take part;
 single documents are free to fill the shards up.
@@ -87,7 +87,8 @@ def propagate(groups: DataFrame, stage: Stage, capacity: float, n_shards: int =
         luck = _unit("g1", "g2", F.lit(turn))
 
         def leaves(n, i):  # used at once
-            return F.when(i == F.col("best"), F.lit(0)).when(F.col("away") <= whole, F.when(luck < grant, n).otherwise(0)).otherwise(F.floor(n * grant)).cast("long")
+            share = F.floor(n * grant + _unit("g1", "g2", F.lit(turn), i))  # rounded at random: cut down, small parts never moved
+            return F.when(i == F.col("best"), F.lit(0)).when(F.col("away") <= whole, F.when(luck < grant, n).otherwise(0)).otherwise(share).cast("long")
 
         gone = F.transform("held", leaves)
         moved = asked.withColumn("gone", gone).withColumn("in", F.aggregate("gone", F.lit(0).cast("long"), lambda a, n: a + n))
