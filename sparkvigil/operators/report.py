@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.scalars import tokens
-from . import drift, join, timeline
+from . import buckets, drift, join, timeline
 
 LINES = "array<string>"
 #: Sections of a job's report, in order.
@@ -59,14 +59,10 @@ def context_lines(
     signature knew. A job in ``jobs`` without an event has a report that says so. Null counts are 0.
     """
     keys = list(timeline.JOB)
-    rows = timeline.collapse(join.for_jobs(events, before, after, skew, cluster_scope, jobs.select("job").distinct() if jobs is not None else None))
-    own = F.col("relation") == "direct"
-    node = F.when(own & (F.coalesce("node", F.lit("")) != ""), F.col("node"))
+    runs = buckets.Collapsed(events, before, after, skew, cluster_scope, jobs.select("job").distinct() if jobs is not None else None)
+    rows = runs.rows(["source", "class", "signature", "job_raw", "attrs_text"], limit)
     early, late = (join.BEFORE if before is None else before) + skew, (join.AFTER if after is None else after) + skew
-    seen = rows.groupBy(*keys).agg(
-        F.sum("count").alias("n"), F.sum(F.when(own, F.col("count")).otherwise(0)).alias("own"), F.min(F.when(own, F.col("ts"))).alias("lo"),
-        F.max(F.when(own, F.col("last"))).alias("hi"), F.array_sort(F.collect_set(node)).alias("nodes"),
-    )
+    seen = runs.jobs().select(*keys, "n", F.col("events").alias("own"), F.col("first_ts").alias("lo"), F.col("last_ts").alias("hi"), "nodes", "runs")
     if jobs is not None:
         seen = seen.unionByName(jobs.select(*keys).distinct().join(seen, keys, "left_anti"), allowMissingColumns=True)
     seen = seen.join(gap_lines(capabilities), "cluster", "left") if capabilities is not None else seen.withColumn("gaps", F.lit(None).cast(LINES))
@@ -88,10 +84,12 @@ def context_lines(
     seen = seen.withColumn("head", head).withColumn("tail", F.concat(F.array(F.lit("NOT SEEN")), gaps, _given(odd)))
     spent = seen.select(*keys, (_size(F.col("head")) + _size(F.col("tail")) + TRAILER).alias("__spent"))
     told = timeline.marked(rows.join(spent, keys), limit, F.col("__spent")).drop("__spent")
-    shown = timeline.lines(told.filter("kept").drop("kept"))
+    shown = timeline.lines(told.filter("kept").drop("kept", "source_width", "class_width"))
     lines = shown.select(*keys, F.lit(TIMELINE).alias("section"), "ord", F.explode(_given(F.concat(F.lit("  ["), "day", F.lit("]")), F.col("line"))).alias("line"))
     lines = lines.withColumn("ord", F.col("ord") * 2 + F.when(F.col("line").startswith("  ["), 0).otherwise(1))
-    left = told.filter("not kept").groupBy(*keys).agg(F.count("*").alias("n"))
+    # Runs that no report of the limit has aren't among the rows, but counted.
+    stay = shown.groupBy(*keys).agg(F.count("*").alias("stay"))
+    left = seen.join(stay, keys, "left").select(*keys, (F.col("runs") - F.coalesce("stay", F.lit(0))).alias("n")).filter("n > 0")
     omitted = left.select(*keys, F.lit(OMITTED).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(_text("n"), F.lit(f" rows left out to fit {limit} tokens, the farthest from the job's own events first")).alias("line"))
     return _spread(seen, keys, HEAD, "head").unionByName(lines).unionByName(omitted).unionByName(_spread(seen, keys, GAPS, "tail"))
 
