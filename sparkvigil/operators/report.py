@@ -89,9 +89,12 @@ def context_lines(
     lines = lines.withColumn("ord", F.col("ord") * 2 + F.when(F.col("line").startswith("  ["), 0).otherwise(1))
     # Runs that no report of the limit has aren't among the rows, but counted.
     stay = shown.groupBy(*keys).agg(F.count("*").alias("stay"))
-    left = seen.join(stay, keys, "left").select(*keys, (F.col("runs") - F.coalesce("stay", F.lit(0))).alias("n")).filter("n > 0")
-    omitted = left.select(*keys, F.lit(OMITTED).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(_text("n"), F.lit(f" rows left out to fit {limit} tokens, the farthest from the job's own events first")).alias("line"))
-    return _spread(seen, keys, HEAD, "head").unionByName(lines).unionByName(omitted).unionByName(_spread(seen, keys, GAPS, "tail"))
+    # All other sections in one pass over what was seen, as each would count the jobs' events again.
+    n = F.col("runs") - F.coalesce("stay", F.lit(0))
+    omitted = F.when(n > 0, F.array(F.concat(_text(n), F.lit(f" rows left out to fit {limit} tokens, the farthest from the job's own events first")))).otherwise(F.array().cast(LINES))
+    of = lambda section, c: F.transform(c, lambda x, i: F.struct(F.lit(section).alias("section"), i.cast("long").alias("ord"), x.alias("line")))
+    rest = F.concat(of(HEAD, F.col("head")), of(OMITTED, omitted), of(GAPS, F.col("tail")))
+    return seen.join(stay, keys, "left").select(*keys, F.explode(rest).alias("__line")).select(*keys, "__line.*").unionByName(lines)
 
 
 def site_lines(profile: dict, path: str = "") -> list[str]:
